@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe
+from . import bpe, tokenids
 
-MODULES = (bpe,)
+MODULES = (bpe, tokenids)
 
 
 def queries() -> dict:
