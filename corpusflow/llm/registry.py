@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, tokenids
+from . import bpe, sharding, tokenids
 
-MODULES = (bpe, tokenids)
+MODULES = (bpe, sharding, tokenids)
 
 
 def queries() -> dict:
