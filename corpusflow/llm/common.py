@@ -96,3 +96,8 @@ def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
+
+
+def broadcast_if_small(df: DataFrame, most_rows: int) -> DataFrame:
+    """Ask for a broadcast only where a count shows that ``df`` has at most ``most_rows`` rows; else joins shuffle."""
+    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, sharding, tokenids
+from . import bpe, decontaminate, sharding, tokenids
 
-MODULES = (bpe, sharding, tokenids)
+MODULES = (bpe, sharding, decontaminate, tokenids)
 
 
 def queries() -> dict:
