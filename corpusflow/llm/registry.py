@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, sharding, tokenids
+from . import bpe, decontaminate, pii, sharding, tokenids
 
-MODULES = (bpe, sharding, decontaminate, tokenids)
+MODULES = (bpe, sharding, decontaminate, pii, tokenids)
 
 
 def queries() -> dict:
