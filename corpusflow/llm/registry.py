@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, pii, sharding, tokenids
+from . import bpe, decontaminate, neardup, pii, sharding, tokenids, toxicity
 
-MODULES = (bpe, sharding, decontaminate, pii, tokenids)
+MODULES = (bpe, sharding, neardup, toxicity, decontaminate, pii, tokenids)
 
 
 def queries() -> dict:
