@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, neardup, pii, sharding, tokenids, toxicity
+from . import bpe, decontaminate, neardup, pii, quality, sharding, tokenids, toxicity
 
-MODULES = (bpe, sharding, neardup, toxicity, decontaminate, pii, tokenids)
+MODULES = (bpe, sharding, neardup, toxicity, quality, decontaminate, pii, tokenids)
 
 
 def queries() -> dict:
