@@ -35,8 +35,10 @@ MAGIC = b"CFTOKEN1"
 HEADER = struct.Struct("<8sIIQQQqII")
 #: Ids in a block before the next one begins; a longer document has a block of its own.
 BLOCK_IDS = 4_000_000
-MEMO, MEMO_CHARS = 250_000, 64
+#: Pieces in each half of a worker's memory, and the longest that it keeps.
+MEMO, MEMO_CHARS = 500_000, 64
 SAMPLE = 64
+MARKS = ".,;:!?"
 
 
 class EliasFano:
@@ -176,7 +178,9 @@ class PieceEncoder:
         self.form = f"<u{self.width}"
         self.special = sorted(t.content for t in self.lib.get_added_tokens_decoder().values())
         self.odd = re.compile(r" \s|" + "|".join(map(re.escape, self.special)))
+        self.marks = dict(zip(MARKS, self._encode(list(MARKS)), strict=True))
         self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, self.form).tobytes() for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
@@ -187,16 +191,29 @@ class PieceEncoder:
         if text[-1] == " " or self.odd.search(text):
             return self._encode([text])[0]
         head, *pieces = text.split(" ")
-        memo = self.memo
-        found = [memo.get(p) for p in pieces]
-        lost = {p for p, f in zip(pieces, found, strict=True) if f is None} if None in found else ()
-        if lost:
-            order = list(lost)
-            made = dict(zip(order, self._encode([" " + p for p in order]), strict=True))
+        new, old = self.memo, self.older
+        found = [*map(new.get, pieces)]
+        if None in found:
+            lost = {p for p, f in zip(pieces, found, strict=True) if f is None}
+            made = {p: f for p in lost if (f := old.get(p)) is not None} if old else {}
+            lost.difference_update(made)
+            # a word and the mark that closes it are tokens apart: only the word is looked up or encoded
+            stems = {p: p[:-1] for p in lost if p[-1:] in MARKS and p[:-1].isalpha() and max(p) < "\u0250"}
+            lost.difference_update(stems)
+            for stem in stems.values():
+                if stem not in made:
+                    if (f := new.get(stem) or old.get(stem)) is None:
+                        lost.add(stem)
+                    else:
+                        made[stem] = f
+            rest = list(lost)
+            made.update(zip(rest, self._encode([" " + p for p in rest]), strict=True))
+            for p, stem in stems.items():
+                made[p] = made[stem] + self.marks[p[-1]]
             found = [made[p] if f is None else f for p, f in zip(pieces, found, strict=True)]
-            if len(memo) >= MEMO:
-                memo.clear()
-            memo.update((p, f) for p, f in made.items() if len(p) <= MEMO_CHARS)
+            if len(new) + len(made) > MEMO:  # what is in use moves on from the older half
+                self.older, self.memo = new, {}
+            self.memo.update((p, f) for p, f in made.items() if len(p) <= MEMO_CHARS)
         first = self._encode([head])[0] if head else b""
         return first + b"".join(found)
 
