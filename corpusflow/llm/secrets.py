@@ -211,6 +211,18 @@ def joined(spans) -> F.Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
 
 
+def redact(text, spans) -> F.Column:
+    """The text with each span replaced by its kind in brackets; one that begins inside an earlier one lengthens that."""
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+    def step(acc, x):
+        more = F.concat(acc["out"], F.substring(text, acc["at"] + 1, x["start"] - acc["at"]), F.lit("["), x["kind"], F.lit("]"))
+        inside = x["start"] < acc["at"]
+        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.when(inside, acc["out"]).otherwise(more).alias("out"))
+
+    return F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan(common.narrow(common.table(spark, sf_dir, "documents"), ["doc_id", "text"]))
     n = lambda k: F.size(F.filter("base", lambda x: x["kind"] == k)).cast("long").alias(f"n_{k}")
