@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, neardup, pii, quality, secrets, sharding, tokenids, toxicity
+from . import bpe, decontaminate, neardup, pii, quality, secrets, sharding, tokenids, toxicity, warc
 
-MODULES = (bpe, sharding, neardup, toxicity, quality, secrets, decontaminate, pii, tokenids)
+MODULES = (bpe, sharding, neardup, toxicity, quality, secrets, decontaminate, warc, pii, tokenids)
 
 
 def queries() -> dict:
