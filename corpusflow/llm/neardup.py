@@ -8,8 +8,9 @@ candidates, and every link is confirmed on the full sets (100 x intersection >=
 The steps: (1) documents with equal sets become one representative, so groups of copies of any size cost one row each.
 (2) In each band bucket, members are linked to hubs: the smallest member and the member that stands in most buckets,
 two pairs a member.  Confirmed links give components.  (3) Buckets whose members still lie in several components are
-searched across components: blocks of the bucket are compared by their signatures in numpy, and only pairs whose signatures
-agree well enough are verified; so no bucket is capped and no bucket emits its square.  (4) Components by repeated
+searched across components: blocks of the bucket are compared by their signatures in numpy, pairs whose signatures agree
+well enough are verified on the spot, and a task returns a spanning forest of its links; so no bucket is capped and none
+emits its square.  (4) Components by repeated
 minimum labels over the verified links, as tables; nothing is collected.
 
 Defined results: null, empty and word-less texts have an empty set and are linked with nothing; fewer than five words are
@@ -143,29 +144,34 @@ def bands(reps: DataFrame) -> DataFrame:
     return reps.select("id", "sig").mapInArrow(run, "bucket long, id long")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough.  Only texts of documents in some pair are read into sets."""
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    texts = docs.select(F.col("doc_id").alias("id"), "text").join(common.broadcast_if_small(common.materialize(ids, "ids"), MOST_IDS), "id", "left_semi")
+def set_table(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """(id, s): the sorted shingles of the documents whose ids are asked for; only those texts are read into sets."""
+    texts = docs.select(F.col("doc_id").alias("id"), "text").join(common.broadcast_if_small(common.materialize(ids.distinct(), "ids"), MOST_IDS), "id", "left_semi")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_hashes(t).tobytes() for t in _texts(b.column(1))], pa.binary())], names=["id", "s"])
 
-    held = common.materialize(texts.mapInArrow(sets, "id long, s binary"), "sets")
+    return common.materialize(texts.mapInArrow(sets, "id long, s binary"), "sets")
+
+
+def similar(x: bytes, y: bytes, percent: int) -> bool:
+    """Whether two whole sets are similar enough."""
+    x, y = np.frombuffer(x, _U), np.frombuffer(y, _U)
+    if min(len(x), len(y)) * 100 < percent * max(len(x), len(y)):
+        return False
+    met = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * met >= percent * (len(x) + len(y) - met)
+
+
+def verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar enough."""
+    held = set_table(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))), docs)
     both = pairs.join(held.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(held.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keep = []
-            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, _U), np.frombuffer(y, _U)
-                if min(len(x), len(y)) * 100 < percent * max(len(x), len(y)):
-                    keep.append(False)
-                    continue
-                met = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * met >= percent * (len(x) + len(y) - met))
-            mask = pa.array(keep, pa.bool_())
+            mask = pa.array([similar(x, y, percent) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0).filter(mask), b.column(1).filter(mask)], names=["a", "b"])
 
     return both.select("a", "b", "sa", "sb").mapInArrow(confirm, "a long, b long")
@@ -199,10 +205,11 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return nodes.select("id").join(jumped.select("id", "label"), "id", "left").select("id", F.coalesce("label", "id").alias("label"))
 
 
-def across(members: DataFrame) -> DataFrame:
-    """Candidate pairs between components of one bucket, by signature agreement.
+def across(members: DataFrame, percent: int) -> DataFrame:
+    """Verified links (a, b) between components of one bucket; pairs whose signatures disagree aren't compared further.
 
-    members: bucket, id, label, sig.  A bucket's largest component needs no comparison with itself: its members go to
+    A task gives a link only where it ties what its own links don't tie yet, so it returns fewer links than it has members.
+    members: bucket, id, label, sig, s.  A bucket's largest component needs no comparison with itself: its members go to
     blocks of their own, the others to blocks before those, about BLOCK members each by a hash of the id.  A task compares
     one block of the others with one block of either kind.
     """
@@ -216,7 +223,7 @@ def across(members: DataFrame) -> DataFrame:
     # each row goes to the tasks of its block: (i, j) with i among the others' blocks and j not before i
     i_of = F.when(F.col("block") < F.col("p"), F.concat(F.transform(F.sequence("block", F.col("p") + F.col("q") - 1), lambda j: F.struct(F.col("block").alias("i"), j.alias("j"))), F.transform(F.sequence(F.lit(0), "block"), lambda i: F.struct(i.alias("i"), F.col("block").alias("j")))))
     i_of = i_of.otherwise(F.transform(F.sequence(F.lit(0), F.col("p") - 1), lambda i: F.struct(i.alias("i"), F.col("block").alias("j"))))
-    rows = placed.withColumn("task", F.explode(F.array_distinct(i_of))).select("bucket", "task.i", "task.j", "block", "id", "label", "sig")
+    rows = placed.withColumn("task", F.explode(F.array_distinct(i_of))).select("bucket", "task.i", "task.j", "block", "id", "label", "sig", "s")
     common.small_batches(members.sparkSession)
 
     def compare(key, batch):
@@ -225,15 +232,26 @@ def across(members: DataFrame) -> DataFrame:
         ids, labels = batch.column("id").to_numpy(), batch.column("label").to_numpy()
         sigs = np.frombuffer(b"".join(batch.column("sig").to_pylist()), "<i4").reshape(-1, COORDINATES)
         left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        sets = batch.column("s").to_pylist()
+        part = np.unique(labels, return_inverse=True)[1]
+        up = list(range(int(part.max()) + 1))
+
+        def top(x):
+            while up[x] != x:
+                up[x] = up[up[x]]
+                x = up[x]
+            return x
+
         a, b = [], []
         for r in left:
             to = right[(labels[right] != labels[r]) & ((ids[right] > ids[r]) | (i != j))]
-            if len(to):
-                to = to[(sigs[to] == sigs[r]).sum(axis=1) >= AGREE * COORDINATES]
-                a.append(np.full(len(to), ids[r]))
-                b.append(ids[to])
-        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
-        return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
+            for t in to[(sigs[to] == sigs[r]).sum(axis=1) >= AGREE * COORDINATES]:
+                x, y = top(part[r]), top(part[t])
+                if x != y and similar(sets[r], sets[t], percent):
+                    up[x] = y
+                    a.append(min(ids[r], ids[t]))
+                    b.append(max(ids[r], ids[t]))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return rows.groupBy("bucket", "i", "j").applyInArrow(compare, "a long, b long").distinct()
 
@@ -262,10 +280,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     # buckets with members of several components: the other pairs there
     mixed = shared.join(label, "id")
     open_ = mixed.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("bucket")
-    rest = mixed.filter("size > 2").join(open_, "bucket", "left_semi").select("bucket", "id", "label").join(reps, "id")
-    more = common.materialize(across(rest).join(pairs, ["a", "b"], "left_anti"), "more")
-    if more.limit(1).count():
-        second = verified(more, texts, percent)
+    rest = common.materialize(mixed.filter("size > 2").join(open_, "bucket", "left_semi").select("bucket", "id", "label"), "rest")
+    if rest.limit(1).count():
+        whole = rest.join(reps, "id").join(set_table(rest.select("id"), texts), "id")
+        second = common.materialize(across(whole, percent), "second")
         label = common.materialize(components(reps, first.union(second)), "components")
     final = same.join(label.distinct(), same["rep"] == label["id"]).select("digest", F.col("label").alias("component"))
     # ids that stand on several rows join what their rows are in
