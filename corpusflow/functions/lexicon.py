@@ -1,36 +1,71 @@
-"""Word lists of the text functions, each in alphabetical order."""
+"""Word lists of the text functions and of the query router."""
 
 from __future__ import annotations
 
+# These lists decide results and must stay as they are.
+
 #: Function words that an index of a text in that language leaves out.
 STOPWORDS: dict[str, list[str]] = {
-    "de": sorted("zu von und sind oder nicht mit ist in im für einer einen einem eine ein die der des den dem das auf".split()),
-    "en": sorted("with was were to the that this or on of is it in from for by be at as are and an".split()),
-    "es": sorted("y unos unas una un se que por pero para o no los las la en el del con al".split()),
-    "fr": sorted("une un sur qui que pour pas par ou ne les le la et du des de dans cette ce avec".split()),
-    "it": sorted("uno una un sono per non nella nel lo lo le la in il i gli ed e di della del con che".split()),
-    "ja": sorted("れ を は の に と て た し さ が で".split()),
-    "ko": sorted("저 이 와 에 수 및 들 등 그 과 것".split()),
-    "pt": sorted("um uma se que por para ou os o não nos no nas nao na em e dos do das da de com as a".split()),
-    "ru": sorted("я что то ты так только с со по он она но не на мне к как и за ее его да еще вы все во в бы был было а у же".split()),
-    "zh": sorted("都 着 而 是 的 與 就 和 及 了".split()),
+    "pt": "a o os as um uma de da do das dos e ou em no na nos nas para por com que se nao não".split(),
+    "en": "the and or of to in on for is are was were be as at by an this that it from with".split(),
+    "es": "el la los las un una unos unas del al en para por con que se no y o pero".split(),
+    "fr": "le la les un une des du de dans pour par avec que qui ne pas et ou sur ce cette".split(),
+    "de": "der die das den dem des ein eine einer einem einen und oder in im für mit von zu ist sind nicht auf".split(),
+    "it": "il la lo i gli le un uno una di del della in nel nella per con che non e ed sono".split(),
+    "ru": "и в во не что он на я с со как а то все она так его но да ты к у же вы за бы по только".split(),
+    "zh": "的 了 和 是 就 都 而 及 與 着".split(),
+    "ja": "の に は を た が で て と し れ さ".split(),
+    "ko": "이 그 저 것 수 등 들 및 에 와 과".split(),
 }
-STOPWORDS["it"] = sorted(set(STOPWORDS["it"]))
-#: The Russian list of an index ends where the general list goes on.
-STOPWORDS["ru"] = sorted(set(STOPWORDS["ru"]) - {"ее", "мне", "еще", "был", "было"})
-#: Left out of keywords, whatever the language.
-KEYWORD_STOPWORDS: list[str] = sorted(
-    {w for words in STOPWORDS.values() for w in words}
-    | set("быть был было вас вдруг вот даже для до ее ему если еще или из когда ли меня мне нет ни ну о от потом себя там теперь уже".split())
-)
+#: Russian words that only keywords leave out.
+KEYWORD_ONLY = "ее мне было вот от меня еще нет о из ему теперь когда даже ну вдруг ли если уже или ни быть был до вас там потом себя для".split()
 
 #: Words that tell a language, in the order in which ties are decided.
 INDICATORS: dict[str, list[str]] = {
-    "pt": sorted("uma um sobre se que por pelo pela para ou os nos não no nas nao na mas mais isto isso este esta esse essa em dos do de das da como com as aos ao".split()),
-    "en": sorted("with which were was to this there the that or on of it is in have has from for by been be at as are and an".split()),
-    "es": sorted("unos unas una un también tambien sobre que por pero para los las la estos este estas esta entre en el del con como al".split()),
-    "fr": sorted("une un sur sont qui que pour par mais les le la est du des de dans cette ces ce avec aussi".split()),
-    "de": sorted("zu von und sind oder nicht mit ist in im für einer einen einem eine ein die des der den dem das auf auch".split()),
-    "it": sorted("uno una un sono questo questa per nella nel lo le la in il i gli delle dei degli della del con che anche".split()),
+    "pt": "de da do das dos em no na nos nas para por com que se nao não um uma os as ou como mais mas ao aos este esta esse essa isso isto pelo pela sobre".split(),
+    "en": "the and or of to in on for is are was were be been as at by an this that it from with which there have has".split(),
+    "es": "el la los las un una unos unas del al en para por con que como pero este esta estos estas sobre entre también tambien".split(),
+    "fr": "le la les un une des du de dans pour par avec sur est sont cette ce ces qui que mais aussi".split(),
+    "de": "der die das den dem des ein eine einer einem einen und oder in im für mit von zu ist sind nicht auf auch".split(),
+    "it": "il la lo i gli le un uno una del della dei degli delle in nel nella per con che sono questo questa anche".split(),
 }
-INDICATORS["pt"].remove("as")
+
+#: Phrases and words that ask for an overview, a comparison, or a place in the text; words that carry no content there.
+OVERVIEW_PHRASES = [
+    "tema principal", "visão geral", "visao geral", "ideia central", "principais tópicos", "principais topicos",
+    "main theme", "central idea", "key topics", "main points", "overview of", "executive summary",
+    "visión general", "vision general", "idea central", "tema central", "temas clave", "puntos principales",
+    "thème principal", "theme principal", "vue d'ensemble", "idée centrale", "idee centrale", "points clés", "points cles",
+    "hauptthema", "überblick", "ueberblick", "zentrale idee", "hauptpunkte", "kernaussage",
+    "tema principale", "panoramica", "punti principali", "argomento principale",
+    "главная тема", "обзор", "центральная идея", "основные темы", "ключевые моменты", "краткое содержание",
+    "主要议题", "主要主题", "核心思想", "中心思想", "概览", "全局概览", "总结概述", "要点概括", "全文总结",
+    "主なテーマ", "中心的な考え", "全体の概要", "主なトピック", "全体のまとめ",
+    "주요 주제", "중심 생각", "전체 개요", "주요 요점", "핵심 내용", "전체 요약",
+]
+OVERVIEW_WORDS = [
+    "resumo", "resuma", "summarize", "summary", "overview", "synopsis", "resumen", "resume", "resumir", "résumé", "résumer", "resumer", "aperçu", "apercu",
+    "zusammenfassung", "abstrakt", "riassunto", "riassumere", "резюме", "обобщение", "обобщить", "конспект", "总结", "概述", "概括", "综述", "要約", "まとめ", "概略", "요약", "개요", "줄거리",
+]
+COMPARE_PHRASES = [
+    "em comum", "diferenças", "diferencas", "comparar", "in common", "differences", "compare the", "en común", "en comun", "diferencias",
+    "en commun", "différences", "gemeinsam", "unterschiede", "im vergleich", "in comune", "differenze",
+    "в общем", "различия", "разница", "сравнить", "共同点", "相同点", "区别", "不同点", "对比", "共通点", "違い", "比較", "対比", "공통점", "차이점", "비교",
+]
+COMPARE_WORDS = ["compare", "comparar", "vergleichen", "confrontare", "сравнить"]
+LOCAL_PHRASES = [
+    "neste parágrafo", "neste capitulo", "neste capítulo", "nessa seção", "nessa secao", "contexto imediato", "trecho sobre", "passagem sobre", "ao redor de",
+    "in this paragraph", "in this section", "nearby context", "surrounding text", "in this chapter", "local context", "passage about",
+]
+FILLER = [
+    "deste", "desta", "livro", "texto", "artigo", "documento", "this", "that", "book", "text", "the", "article", "document", "este", "esta", "articulo",
+    "ce", "cet", "cette", "texte", "dieses", "dieser", "buch", "questo", "questa", "testo", "этот", "эта", "это", "книга", "текст", "статья", "документ",
+]
+
+#: Put before a query that an encoder reads.
+QUERY_PROMPT = "Represent this sentence for searching relevant passages: "
+
+# End of the fixed values.
+
+#: Left out of keywords, whatever the language: every list above together.
+KEYWORD_STOPWORDS: list[str] = list(dict.fromkeys([w for words in STOPWORDS.values() for w in words] + KEYWORD_ONLY))

@@ -32,25 +32,21 @@ def _words(words: list[str]) -> Column:
 def language(text: Column, toks: Column, default: str | None = None) -> Column:
     """The language by script, telling letters, then telling words; NULL (or ``default``) where nothing tells."""
     low = F.lower(text)
-    votes = {k: F.size(F.array_intersect(toks, _words(v))) for k, v in INDICATORS.items()}
-    best = F.greatest(*votes.values())
-    by_words = F.coalesce(*[F.when((best > 0) & (v == best), F.lit(k)) for k, v in votes.items()])
+    # each vote is taken once: the largest (votes, place in the order of ties) names the language
+    votes = [F.struct(F.size(F.array_intersect(toks, _words(v))).alias("n"), F.lit(-i).alias("i"), F.lit(k).alias("k")) for i, (k, v) in enumerate(INDICATORS.items())]
+    by_words = F.get(F.transform(F.filter(F.array(F.array_max(F.array(*votes))), lambda x: x["n"] > 0), lambda x: x["k"]), F.lit(0))
     out = F.when(low.rlike("[Ѐ-ӿ]"), "ru").when(low.rlike("[가-힯ᄀ-ᇿ]"), "ko").when(low.rlike("[぀-ゟ゠-ヿ]"), "ja").when(low.rlike("[一-鿿]"), "zh")
     out = out.when(low.rlike("[ñ¿¡]"), "es").when(low.rlike("[äöüß]"), "de").when(low.rlike("[œæëïù]"), "fr").when(low.rlike("[çãõ]"), "pt")
     return out.otherwise(F.coalesce(by_words, F.when(low.rlike("[áéíóúâêôà]"), "pt"), F.lit(default)))
 
 
-def without_stopwords(toks: Column, lang: Column) -> Column:
-    """Tokens that aren't function words of the language; an unknown language keeps all."""
-    case = None
-    for k, words in STOPWORDS.items():
-        kept = F.filter(toks, _not_in(words))
-        case = F.when(lang == k, kept) if case is None else case.when(lang == k, kept)
-    return case.otherwise(toks)
+_LISTED = [f"{k}:{w}" for k, words in STOPWORDS.items() for w in words]
 
 
-def _not_in(words: list[str]):
-    return lambda t: ~t.isin(words)
+def without_stopwords(toks: Column, lang: Column) -> Column:
+    """Tokens that aren't function words of the language; an unknown language keeps all."""
+    prefix = F.concat(lang, F.lit(":"))
+    return F.when(lang.isNull(), toks).otherwise(F.filter(toks, lambda t: ~F.concat(prefix, t).isin(_LISTED)))
 
 
 def keyword_tokens(toks: Column) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as X
+from .tables import small, table
 
 K1, B = 1.2, 0.75
 DIGITS = 6
@@ -35,15 +36,17 @@ def term_lists(docs: DataFrame, id_: str = "id", text: str = "text") -> DataFram
 
 
 def build_index(docs: DataFrame, id_: str = "id", text: str = "text") -> LexicalIndex:
-    lists = term_lists(docs, id_, text).withColumn("dl", F.greatest(F.lit(1), F.size("terms"))).persist()
+    lists = term_lists(docs, id_, text).withColumn("dl", F.greatest(F.lit(1), F.size("terms")))
+    lists = table(lists)
     stats = lists.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).first()
     # the most common language; the first in the alphabet wins a tie
     langs = lists.filter("lang is not null").groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(1).collect()
     postings = lists.select("id", "dl", F.explode("terms").alias("term")).groupBy("id", "dl", "term").agg(F.count("*").cast("int").alias("tf"))
+    postings = table(postings)
     n = stats["n"]
     terms = postings.groupBy("term").agg(F.count("*").alias("df"))
     terms = terms.withColumn("idf", F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0))
-    return LexicalIndex(postings, terms, n, stats["avgdl"] or 0.0, langs[0]["lang"] if langs else "pt")
+    return LexicalIndex(postings, table(terms), n, stats["avgdl"] or 0.0, langs[0]["lang"] if langs else "pt")
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -51,19 +54,14 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return term_lists(queries, "qid").select(F.col("id").alias("qid"), F.explode("terms").alias("term")).groupBy("qid", "term").agg(F.count("*").alias("times"))
 
 
-def small(df: DataFrame, most: int) -> DataFrame:
-    """Broadcast behind a count; beyond it the planner's own join."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
-
-
 def bm25(index: LexicalIndex, queries: DataFrame, k: int = 50) -> DataFrame:
     """qid, id, score, rank (from 1) of the best k, ties by id.  Only postings of query terms are scored."""
-    wanted = query_terms(queries).join(index.terms, "term").select("qid", "term", "times", "idf")
+    wanted = table(query_terms(queries).join(index.terms, "term").select("qid", "term", "times", "idf"))
     hits = index.postings.join(small(wanted, MOST_QUERY_TERMS), "term")
     norm = F.col("tf") + K1 * (1.0 - B + B * F.col("dl") / (index.avgdl or 1.0))
     part = F.col("times") * F.col("idf") * (F.col("tf") * (K1 + 1.0) / norm)
     scored = hits.groupBy("qid", "id").agg(F.round(F.sum(part), DIGITS).alias("score"))
-    return top_k(scored, k)
+    return table(top_k(scored, k))
 
 
 def top_k(scored: DataFrame, k: int, by: str = "score") -> DataFrame:

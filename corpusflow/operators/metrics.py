@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import text as X
+
 
 def per_query(run: DataFrame, qrels: DataFrame, k: int = 10) -> DataFrame:
     """qid, mrr, ndcg, hit, recall at k for every query that has a truth; without results all are 0.
@@ -76,3 +78,28 @@ def complete_mean(scores: DataFrame, tasks: int) -> DataFrame:
     """The mean of task scores, null unless every task is complete and none was sampled."""
     ok = (F.count("*") == tasks) & (F.min(F.col("complete").cast("int")) == 1) & (F.max(F.col("sampled").cast("int")) == 0)
     return scores.agg(F.when(ok, F.round(F.avg("score"), 6)).alias("mean"), F.count("*").alias("tasks"))
+
+
+def passage_recall(run: DataFrame, evidence: DataFrame, k: int = 10) -> DataFrame:
+    """qid, hit, covered: whether a passage among the first k overlaps a gold one, and the share of gold ones overlapped.
+
+    run: qid, rank, text.  evidence: qid, gold.  The pairs compared are k x a query's own gold passages.
+    """
+    gold = evidence.select("qid", "gold").distinct().withColumn("g", X.evidence_tokens(F.col("gold")))
+    top = run.filter(F.col("rank") <= k).select("qid", X.evidence_tokens(F.col("text")).alias("c"))
+    met = gold.join(top, "qid", "left").withColumn("met", F.coalesce(X.evidence_hit(F.col("c"), F.col("g")), F.lit(False)))
+    each = met.groupBy("qid", "gold").agg(F.max("met").alias("met"))
+    return each.groupBy("qid").agg(F.max(F.col("met").cast("double")).alias("hit"), F.round(F.avg(F.col("met").cast("double")), 6).alias("covered"))
+
+
+def head_to_head(rows: DataFrame) -> DataFrame:
+    """system, hit, latency, build: means by system.  rows: system, qid, gold, found, latency, build; a found path may be longer."""
+    norm = X.repo_path
+    hit = F.when(norm(F.col("found")).endswith(norm(F.col("gold"))) | norm(F.col("gold")).endswith(norm(F.col("found"))), 1.0).otherwise(0.0)
+    each = rows.groupBy("system", "qid").agg(F.max(F.coalesce(hit, F.lit(0.0))).alias("hit"), F.first("latency").alias("latency"), F.first("build").alias("build"))
+    return each.groupBy("system").agg(*[F.round(F.avg(c), 6).alias(c) for c in ("hit", "latency", "build")])
+
+
+def resolved_share(results: DataFrame, total: int) -> DataFrame:
+    """Resolved instances over the whole dataset, not over those handed in."""
+    return results.agg(F.round(F.sum(F.col("resolved").cast("int")) / F.lit(total), 6).alias("resolved"), F.count("*").alias("submitted"))

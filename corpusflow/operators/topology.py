@@ -2,31 +2,16 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as X
+from .tables import table
 
 SECTION = 20
 
 
-def table(df: DataFrame) -> DataFrame:
-    """Cut the lineage of an iteration: a table in the folder that the session shares with its executors.
-
-    ``spark.checkpoint.dir`` names that folder; without one (a laptop, a test) the plan is checkpointed where the context says.
-    """
-    spark = df.sparkSession
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not top:
-        return df.persist()
-    path = f"{top.rstrip('/')}/corpusflow/{spark.sparkContext.applicationId}/step-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def _order():
     return Window.partitionBy("source").orderBy("chunk_index", "id")
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .topology import table
+from .tables import table
 
 
 def neighbours(edges: DataFrame, kind: str | None = None) -> DataFrame:

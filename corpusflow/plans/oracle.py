@@ -40,13 +40,18 @@ def lists(name: str, source: str, key: str) -> str:
     )
 
 
-#: The lexical index of documents: d (id, lang, terms), post (id, dl, term, tf), tstat (term, df, idf), cs (n, avgdl).
-INDEX = (
-    lists("d", "(SELECT doc_id AS id, text FROM documents)", "id")
-    + ", cs AS MATERIALIZED (SELECT count(*) AS n, avg(greatest(1, len(terms))) AS avgdl FROM d), "
+def index_of(source: str) -> str:
+    """The lexical index of a source (id, text): d (id, lang, terms), post (id, dl, term, tf), tstat (term, df, idf), cs (n, avgdl)."""
+    return lists("d", source, "id") + _INDEX
+
+
+_INDEX = (
+    ", cs AS MATERIALIZED (SELECT count(*) AS n, avg(greatest(1, len(terms))) AS avgdl FROM d), "
     "post AS MATERIALIZED (SELECT id, dl, term, count(*) AS tf FROM (SELECT id, greatest(1, len(terms)) AS dl, unnest(terms) AS term FROM d) GROUP BY ALL), "
     "tstat AS MATERIALIZED (SELECT term, count(*) AS df, ln((max(n) - count(*) + 0.5) / (count(*) + 0.5) + 1.0) AS idf FROM post, cs GROUP BY term)"
 )
+INDEX = index_of("(SELECT doc_id AS id, text FROM documents)")
+INDEX_OF_TURNS = index_of("(SELECT conv_id * 100000 + turn AS id, text FROM conversations)")
 QUERIES = lists("q", "(SELECT item_id AS qid, text FROM benchmark)", "qid") + ", qt AS MATERIALIZED (SELECT qid, term, count(*) AS times FROM (SELECT qid, unnest(terms) AS term FROM q) GROUP BY ALL)"
 
 

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import registry_search
+from . import registry_graph, registry_search
 
-MODULES = (registry_search,)
+MODULES = (registry_search, registry_graph)
 QUERIES = {k: q for m in MODULES for k, q in m.QUERIES.items()}
 ORACLE_SQL = {k: q for m in MODULES for k, q in m.ORACLE_SQL.items()}

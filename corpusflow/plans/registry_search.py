@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import dense, fusion, lexical, metrics
+from ..operators.tables import small
 from . import oracle as O
 from . import search
 
@@ -26,7 +27,7 @@ def batch(spark, d) -> DataFrame:
 def truths(spark, d) -> DataFrame:
     """Documents that hold a query's text; the batch of queries is small and bounded by its caller."""
     q = batch(spark, d)
-    pairs = docs(spark, d).join(F.broadcast(q.select("qid", F.col("text").alias("qtext"))), F.contains(F.col("text"), F.col("qtext")))
+    pairs = docs(spark, d).join(small(q.select("qid", F.col("text").alias("qtext")), dense.MOST_QUERIES), F.contains(F.col("text"), F.col("qtext")))
     return pairs.select("qid", F.col("id").alias("doc_id")).distinct()
 
 
@@ -77,8 +78,8 @@ def scalars(spark, d):
 
 def evidence(spark, d):
     a = table(spark, d, "documents").select("doc_id", X.evidence_tokens(F.col("text")).alias("a"))
-    b = batch(spark, d).filter("qid < 10").select("qid", X.evidence_tokens(F.col("text")).alias("b"))
-    hit = a.join(F.broadcast(b), X.evidence_hit(F.col("a"), F.col("b")))
+    b = batch(spark, d).select("qid", X.evidence_tokens(F.col("text")).alias("b"))
+    hit = a.join(small(b, dense.MOST_QUERIES), X.evidence_hit(F.col("a"), F.col("b")))
     return hit.select("doc_id", "qid")
 
 
@@ -115,8 +116,8 @@ def dense_arm(spark, d):
 
 def vector_top_k(spark, d):
     e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    q = e.filter("id < 50").select(F.col("id").alias("qid"), "vector")
-    return dense.exact_top_k(e, q, 10).select("qid", F.col("id").alias("vec_id"), F.round("score", 5).alias("score"))
+    q = e.filter("id % 100 = 0").select(F.col("id").alias("qid"), "vector")
+    return dense.exact_top_k(e, q, 10).select("qid", F.col("id").alias("vec_id"), "score")
 
 
 def hybrid(spark, d):
@@ -204,7 +205,7 @@ replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS escap
 CASE WHEN user_id % 2 = 0 THEN greatest(200, 10 * (user_id % 60 + 1)) ELSE greatest(50, 5 * (user_id % 60 + 1)) END::BIGINT AS pool, true AS revision,
 len(list_intersect(regexp_split_to_array(lower('src/' || event_type || CASE WHEN user_id % 3 = 0 THEN '_test.py' ELSE '.py' END), '[ _/.]'), ['test', 'tests', 'testing'])) > 0 AS test_path,
 'a/' || event_type AS path FROM events""",
-    "text_evidence": f"""WITH a AS (SELECT doc_id, {_EV} AS a FROM documents), b AS (SELECT item_id AS qid, {_EV} AS b FROM benchmark WHERE item_id < 10),
+    "text_evidence": f"""WITH a AS (SELECT doc_id, {_EV} AS a FROM documents), b AS (SELECT item_id AS qid, {_EV} AS b FROM benchmark),
 m AS (SELECT doc_id, qid, len(a) AS na, len(b) AS nb, len(list_intersect(a, b)) AS met FROM a, b)
 SELECT doc_id, qid FROM m WHERE na > 0 AND nb > 0 AND (met >= 0.15 * (na + nb - met) OR met >= 0.5 * nb)""",
     "lexical_term_statistics": f"WITH {O.INDEX} SELECT term, df::BIGINT AS df, round(idf, 6) AS idf FROM tstat",
@@ -216,8 +217,8 @@ q2src AS (SELECT item_id AS qid, text || coalesce(' ' || more, '') AS text FROM
 u AS (SELECT *, 0 AS p FROM bm UNION ALL SELECT *, 1 FROM bm2), f AS (SELECT qid, id, round(sum(1.0 / (60 + rank)), 8) AS fused, arg_min(score, p) AS score FROM u GROUP BY ALL)
 SELECT qid, id AS doc_id, score, row_number() OVER (PARTITION BY qid ORDER BY fused DESC, id) AS rank FROM f""",
     "dense_hashed": f"WITH {O.INDEX}, {O.QUERIES}, {O.dense(50)} SELECT qid, id AS doc_id, score, rank FROM dn_top",
-    "dense_embeddings": """WITH s AS (SELECT q.vec_id AS qid, e.vec_id, round(list_dot_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) AS s FROM embeddings q, embeddings e WHERE q.vec_id < 50),
-r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY s DESC, vec_id) AS r FROM s) SELECT qid, vec_id, round(s, 5) AS score FROM r WHERE r <= 10 AND (s >= 0.05 OR r = 1)""",
+    "dense_embeddings": """WITH s AS (SELECT q.vec_id AS qid, e.vec_id, round(list_dot_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) AS s FROM embeddings q, embeddings e WHERE q.vec_id % 100 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY s DESC, vec_id) AS r FROM s) SELECT qid, vec_id, s AS score FROM r WHERE r <= 10 AND (s >= 0.05 OR r = 1)""",
     "hybrid_flat": f"WITH {O.FLAT} SELECT qid, id AS doc_id, score, rank FROM hy",
     "metrics_summary": f"WITH {O.FLAT}, {O.QRELS} " + " UNION ALL ".join(f"SELECT '{n}' AS arm, count(*) AS queries, round(avg(mrr), 6) AS mrr, round(avg(ndcg), 6) AS ndcg, round(avg(hit), 6) AS hit, round(avg(recall), 6) AS recall FROM ({_metrics(r)})" for n, r in (("bm25", "bm"), ("dense", "dn_top"), ("hybrid", "hy"))),
     "metrics_per_query": f"WITH {O.INDEX}, {O.QUERIES}, {O.bm25(10)}, {O.QRELS} {_metrics('bm')}",

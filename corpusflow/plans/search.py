@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import dense, fusion, lexical
+from ..operators.tables import table
 
 
 @dataclass
@@ -27,11 +28,9 @@ def vectors(index: lexical.LexicalIndex, queries: DataFrame) -> tuple[DataFrame,
 def flat_hybrid(docs: DataFrame, queries: DataFrame, k: int = 10, pool: int = 50, alpha: float = fusion.ALPHA_FLAT) -> Arms:
     """docs: id, text.  Dense hits are the members, lexical ranks only weigh in; the best ``k`` by fused score then id."""
     index = lexical.build_index(docs)
-    index.postings = index.postings.persist()
-    index.terms = index.terms.persist()
     a = lexical.bm25(index, queries, pool)
     dv, qv = vectors(index, queries)
-    b = dense.exact_top_k(dv, qv, pool)
+    b = table(dense.exact_top_k(dv, qv, pool))
     fused = fusion.weighted_rrf(a, b, alpha, allow=b)
     return Arms(index, a, b, fusion.ranked(fused, k))
 
@@ -40,14 +39,12 @@ def long_hybrid(chunks: DataFrame, queries: DataFrame, k: int = 10, pool: int =
     """chunks: id, doc_id, text.  Two lexical passes (the second with feedback terms), the first chunks of the best lexical
     documents join the members, documents take turns, and lexical documents that were left out are spliced in."""
     index = lexical.build_index(chunks)
-    index.postings = index.postings.persist()
-    index.terms = index.terms.persist()
     first = lexical.bm25(index, queries, pool)
     more = lexical.expansion_terms(index, queries, first, chunks)
     second = lexical.bm25(index, lexical.expanded(queries, more), pool)
-    both = lexical.union_passes(first, second)
+    both = table(lexical.union_passes(first, second))
     dv, qv = vectors(index, queries)
-    b = dense.exact_top_k(dv, qv, pool)
+    b = table(dense.exact_top_k(dv, qv, pool))
     doc = chunks.select("id", "doc_id")
     named = both.join(doc, "id")
     allow = b.select("qid", "id").unionByName(fusion.first_of_documents(named).select("qid", "id"))
