@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -194,8 +195,6 @@ def citations_hold(answer: Column, ids: Column) -> Column:
 
 def rerank(hits: DataFrame, texts: DataFrame, scorer: Callable[[list[str], list[str]], list[float]], k: int) -> DataFrame:
     """Hits by a pair scorer (query texts, passages -> scores), best first, ties by the old rank.  hits: qid, id, rank, query."""
-    import pandas as pd
-
     def score(q: pd.Series, t: pd.Series) -> pd.Series:
         return pd.Series(scorer(q.tolist(), t.tolist()), dtype=float)
 
