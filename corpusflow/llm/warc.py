@@ -12,13 +12,13 @@ record makes a file of its own size).
 
 Defined results: a null url is written as ``urn:page:<id>``, a null or empty body as an empty block, a null id as an empty one;
 rows that are equal make records of their own in any order; an empty table writes no record and audits as sound; other
-columns, whatever their names, are ignored.
+columns, whatever their names, are ignored.  A file that ends within a record is indexed, but not copied.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -43,20 +43,46 @@ def record(page_id, url, body) -> F.Column:
 
 
 def lay_out(pages: DataFrame, page_id: str = "page_id", url: str = "url", body: str = "html", file_bytes: int = FILE_BYTES) -> DataFrame:
-    """(file, page_id, record): records dealt to files of consecutive ids; the table that all replicas are written from."""
+    """(file, n, page_id, record): each read partition's records in order, cut into files of about ``file_bytes``.
+
+    Nothing moves: a record's file follows from its partition and its place there.
+    """
     p = lambda c: F.col(f"`{c}`")
     rows = pages.select(p(page_id).alias("page_id"), record(p(page_id), p(url), p(body)).alias("record"))
-    total = rows.agg(F.sum(F.octet_length("record") + 4)).first()[0] or 0
-    n = max(1, -(-total // file_bytes))
-    spread = rows.repartitionByRange(n, F.col("page_id").asc_nulls_first(), F.xxhash64("record")).sortWithinPartitions(F.col("page_id").asc_nulls_first(), F.xxhash64("record"), "record")
-    return common.materialize(spread.select(F.spark_partition_id().alias("file"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("n"), "page_id", "record"), "records")
+    size = rows.agg(F.sum(F.octet_length("record") + 4).alias("bytes"), F.count("*").alias("n")).first()
+    each = max(1, file_bytes * size["n"] // size["bytes"]) if size["n"] else 1
+    placed = rows.withColumn("__m", F.monotonically_increasing_id())
+    part, n = F.shiftright("__m", 33), F.col("__m").bitwiseAND((1 << 33) - 1)
+    return placed.select((F.shiftleft(part, 32) + F.floor(n / each)).cast("long").alias("file"), n.alias("n"), "page_id", "record")
 
 
 def write_warc(laid: DataFrame, out: str) -> None:
-    """Write one replica: a folder ``file=<k>`` with one WARC file for each file of the layout."""
-    files = laid.select("file", "n", F.col("record").alias("value"))
-    n = max(1, files.select(F.max("file")).first()[0] or 0) + 1
-    files.repartition(n, "file").sortWithinPartitions("file", "n").select("file", "value").write.partitionBy("file").option("lineSep", CRLF * 2).text(out)
+    """Write one replica: a folder ``file=<k>`` with one WARC file for each file of the layout; no file spans two tasks."""
+    files = laid.select("file", "n", F.col("record").alias("value")).sortWithinPartitions("file", "n")
+    files.select("file", "value").write.partitionBy("file").option("lineSep", CRLF * 2).text(out)
+
+
+def _files(spark: SparkSession, out: str) -> DataFrame:
+    from_path = F.regexp_extract(F.col("path"), r"/file=([0-9]+)/", 1).cast("long")
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(out).select(from_path.alias("file"), "content")
+
+
+def copy_warc(spark: SparkSession, source: str, out: str, change: Callable[[str, bytes], bytes] | None = None) -> None:
+    """Write a replica by copying the files of another; ``change`` (record id, bytes -> bytes) stands for damage on the way."""
+    common.small_batches(spark)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for f, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                whole = data.as_py()
+                if change is not None:
+                    whole = b"".join(change(name, x) for _, _, name, x in parse(whole))
+                if not whole.endswith(b"\r\n\r\n"):
+                    raise ValueError(f"file {f} is cut short and can't be copied")
+                yield pa.RecordBatch.from_arrays([pa.array([f], pa.int64()), pa.array([whole[:-4]], pa.binary())], names=["file", "value"])
+
+    copied = _files(spark, source).mapInArrow(run, "file long, value binary").select("file", F.col("value").cast("string").alias("value"))  # the writer puts the last two line breaks
+    copied.write.partitionBy("file").option("lineSep", CRLF * 2).text(out)
 
 
 def _record_at(data: bytes, at: int) -> tuple[int, str] | None:
@@ -91,8 +117,7 @@ def parse(data: bytes) -> Iterator[tuple[int, int, str, bytes]]:
 
 def index_warc(spark: SparkSession, out: str) -> DataFrame:
     """(file, n, offset, length, record_id, sha256) of every record of a replica."""
-    from_path = F.regexp_extract(F.col("path"), r"/file=(-?[0-9]+)/", 1).cast("int")
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(out).select(from_path.alias("file"), "content")
+    files = _files(spark, out)
     common.small_batches(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,10 +125,10 @@ def index_warc(spark: SparkSession, out: str) -> DataFrame:
             for f, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 got = [(f, n, at, size, name, hashlib.sha256(x).hexdigest()) for n, (at, size, name, x) in enumerate(parse(data.as_py()))]
                 columns = list(zip(*got, strict=True)) or [()] * 6
-                kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["file", "n", "offset", "length", "record_id", "sha256"])
 
-    return files.mapInArrow(run, "file int, n long, offset long, length long, record_id string, sha256 string")
+    return files.mapInArrow(run, "file long, n long, offset long, length long, record_id string, sha256 string")
 
 
 def merkle(index: DataFrame) -> DataFrame:
@@ -144,12 +169,15 @@ def audit(ours: DataFrame, theirs: DataFrame) -> DataFrame:
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All pages as two WARC replicas, the second with one byte changed in every hundredth page; the audit finds them."""
-    laid = lay_out(common.table(spark, sf_dir, "pages"))
+    """All pages as WARC files and a copy of these with one byte changed in every hundredth page; the audit finds them."""
     sound, hurt = common.new_path(spark, "warc"), common.new_path(spark, "warc")
-    write_warc(laid, sound)
-    changed = F.concat(F.substring("record", 1, 5), F.lit("2"), F.expr("substring(record, 7)"))
-    write_warc(laid.withColumn("record", F.when(F.col("page_id") % 100 == 0, changed).otherwise(F.col("record"))), hurt)
+    write_warc(lay_out(common.table(spark, sf_dir, "pages")), sound)
+
+    def damage(name: str, x: bytes) -> bytes:
+        page = name.removeprefix("<urn:page:").removesuffix(">")
+        return x[:5] + b"2" + x[6:] if page and int(page) % 100 == 0 else x
+
+    copy_warc(spark, sound, hurt, damage)
     ours, theirs = common.materialize(index_warc(spark, sound), "index"), common.materialize(index_warc(spark, hurt), "index")
     found = audit(ours, theirs).select("file", "n", F.lit(True).alias("damaged"))
     page = F.regexp_extract("record_id", r"^<urn:page:(-?[0-9]*)>$", 1)
