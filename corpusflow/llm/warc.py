@@ -7,7 +7,7 @@ one root.  ``audit`` compares two replicas from the roots down and follows only
 hashes only of ranges that hold damage.
 
 Files are written and read by Spark's own writers and readers: WARC ends each record with two line breaks, which is what
-the text writer puts after a row.  A file is read as a whole by one task, so ``FILE_BYTES`` bounds files (one larger
+the text writer puts after a row.  Files are gzipped; offsets count the bytes that they hold unpacked.  A file is read as a whole by one task, so ``FILE_BYTES`` bounds files (one larger
 record makes a file of its own size).
 
 Defined results: a null url is written as ``urn:page:<id>``, a null or empty body as an empty block, a null id as an empty one;
@@ -18,6 +18,7 @@ columns, whatever their names, are ignored.  A file that ends within a record is
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -56,10 +57,30 @@ def lay_out(pages: DataFrame, page_id: str = "page_id", url: str = "url", body:
     return placed.select((F.shiftleft(part, 32) + F.floor(n / each)).cast("long").alias("file"), n.alias("n"), "page_id", "record")
 
 
-def write_warc(laid: DataFrame, out: str) -> None:
+def write_warc(laid: DataFrame, out: str, compression: str = "gzip") -> None:
     """Write one replica: a folder ``file=<k>`` with one WARC file for each file of the layout; no file spans two tasks."""
     files = laid.select("file", "n", F.col("record").alias("value")).sortWithinPartitions("file", "n")
-    files.select("file", "value").write.partitionBy("file").option("lineSep", CRLF * 2).text(out)
+    files.select("file", "value").write.partitionBy("file").option("lineSep", CRLF * 2).option("compression", compression).text(out)
+
+
+def unpacked(data: bytes) -> bytes:
+    """The bytes of a file that may be gzipped; of a damaged one what comes before the damage."""
+    if data[:2] != b"\x1f\x8b":
+        return data
+    out: list[bytes] = []
+    try:
+        while data:  # one member after the other
+            d = zlib.decompressobj(31)
+            for at in range(0, len(data), 1 << 16):
+                out.append(d.decompress(data[at : at + (1 << 16)]))
+                if d.eof:
+                    data = d.unused_data + data[at + (1 << 16) :]
+                    break
+            else:
+                break
+    except zlib.error:
+        pass
+    return b"".join(out)
 
 
 def _files(spark: SparkSession, out: str) -> DataFrame:
@@ -67,14 +88,14 @@ def _files(spark: SparkSession, out: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(out).select(from_path.alias("file"), "content")
 
 
-def copy_warc(spark: SparkSession, source: str, out: str, change: Callable[[str, bytes], bytes] | None = None) -> None:
+def copy_warc(spark: SparkSession, source: str, out: str, change: Callable[[str, bytes], bytes] | None = None, compression: str = "gzip") -> None:
     """Write a replica by copying the files of another; ``change`` (record id, bytes -> bytes) stands for damage on the way."""
     common.small_batches(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for f, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                whole = data.as_py()
+                whole = unpacked(data.as_py())
                 if change is not None:
                     whole = b"".join(change(name, x) for _, _, name, x in parse(whole))
                 if not whole.endswith(b"\r\n\r\n"):
@@ -82,7 +103,7 @@ def copy_warc(spark: SparkSession, source: str, out: str, change: Callable[[str,
                 yield pa.RecordBatch.from_arrays([pa.array([f], pa.int64()), pa.array([whole[:-4]], pa.binary())], names=["file", "value"])
 
     copied = _files(spark, source).mapInArrow(run, "file long, value binary").select("file", F.col("value").cast("string").alias("value"))  # the writer puts the last two line breaks
-    copied.write.partitionBy("file").option("lineSep", CRLF * 2).text(out)
+    copied.write.partitionBy("file").option("lineSep", CRLF * 2).option("compression", compression).text(out)
 
 
 def _record_at(data: bytes, at: int) -> tuple[int, str] | None:
@@ -123,7 +144,7 @@ def index_warc(spark: SparkSession, out: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for f, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                got = [(f, n, at, size, name, hashlib.sha256(x).hexdigest()) for n, (at, size, name, x) in enumerate(parse(data.as_py()))]
+                got = [(f, n, at, size, name, hashlib.sha256(x).hexdigest()) for n, (at, size, name, x) in enumerate(parse(unpacked(data.as_py())))]
                 columns = list(zip(*got, strict=True)) or [()] * 6
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["file", "n", "offset", "length", "record_id", "sha256"])

@@ -60,3 +60,23 @@ def test_cut_files(spark):
     data = expected(1, "u", "abc") + expected(2, "u", "def") + expected(3, "u", "ghi")
     assert [(x[1], x[2]) for x in W.parse(data)] == [(len(data) // 3, f"<urn:page:{i}>") for i in (1, 2, 3)]
     assert b"".join(x[3] for x in W.parse(data[:-9])) == data[:-9] and len(list(W.parse(data[:-9]))) == 3
+
+
+def test_packed_and_copied(spark, tmp_path):
+    import gzip
+
+    import pytest
+
+    data = expected(1, "u", "abc" * 9000) + expected(2, "u", "def")
+    assert W.unpacked(data) == data == W.unpacked(gzip.compress(data)) == W.unpacked(gzip.compress(data[:99]) + gzip.compress(data[99:]))
+    cut = W.unpacked(gzip.compress(data)[:-20])
+    assert data.startswith(cut) and len(cut) < len(data) + 1
+    df = spark.createDataFrame([(i, "u", f"<p>{i}é</p>") for i in range(200)], "page_id long, url string, html string")
+    a, b = str(tmp_path / "a"), str(tmp_path / "b")
+    W.write_warc(W.lay_out(df), a)
+    W.copy_warc(spark, a, b)
+    assert W.audit(W.index_warc(spark, a), W.index_warc(spark, b)).count() == 0
+    (tmp_path / "c" / "file=0").mkdir(parents=True)
+    (tmp_path / "c" / "file=0" / "x.txt").write_bytes(data[:-1])
+    with pytest.raises(Exception, match="cut short"):
+        W.copy_warc(spark, str(tmp_path / "c"), str(tmp_path / "d"))
