@@ -7,6 +7,9 @@ It is fitted to generated labelled findings (keys, tokens and passwords against
 numbers, long words), calibrated on a held-out part, and its threshold is the largest that still reaches ``RECALL`` there
 and a calibrated score of ``SURE``.
 
+A candidate has no greatest length: the network reads the first ``HEAD`` and last ``TAIL`` characters of it, and its span
+covers it whole.  Least lengths: 16 for a token, 12 after a prefix, 4 for a password in an address, 16 in a key block.
+
 Defined results: null and empty texts have no spans; places are code points, end exclusive; an added span that overlaps one
 that stands before it is dropped; repeated rows each get their own result; an empty table gives no rows; other columns
 pass through, those named like an output column are replaced.
@@ -34,10 +37,12 @@ HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}")
 #: Words without which ASSIGN can't match.
 NEEDS = ("passw", "secret", "token", "api")
 
-MIXED = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]{0,64}[0-9])[A-Za-z0-9+/_=-]{16,512}(?![A-Za-z0-9+/_=-])")
-PREFIXED = re.compile(r"(?<![A-Za-z0-9])(?:gh[pousr]_|xox[abprs]-|sk-|pk_|rk_|glpat-|eyJ|AIza)[A-Za-z0-9._-]{12,1024}")
-IN_ADDRESS = re.compile(r"(?<=://)[^\s/:@]{1,64}:([^\s/:@]{4,128})@")
-BLOCK = re.compile(r"-----BEGIN [A-Z ]{0,32}PRIVATE KEY-----[A-Za-z0-9+/=\s]{16,8192}-----END [A-Z ]{0,32}PRIVATE KEY-----")
+#: Runs go to their end, however long; possessive quantifiers keep each scan in proportion to the text.
+MIXED = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])[A-Za-z0-9+/_=-]{16,}+")
+PREFIXED = re.compile(r"(?<![A-Za-z0-9])(?:gh[pousr]_|xox[abprs]-|sk-|pk_|rk_|glpat-|eyJ|AIza)[A-Za-z0-9._-]{12,}+")
+IN_ADDRESS = re.compile(r"(?<=://)[^\s/:@]++:([^\s/:@]{4,}+)@")
+NAME = r"(?:(?!PRIVATE KEY-----)[A-Z ])*+PRIVATE KEY-----"
+BLOCK = re.compile(rf"-----BEGIN {NAME}[A-Za-z0-9+/=\s]{{16,}}+-----END {NAME}")
 
 RECALL, SURE = 0.97, 0.9
 BEFORE, HEAD, TAIL, AFTER = 20, 36, 12, 8
