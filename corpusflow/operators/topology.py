@@ -144,11 +144,11 @@ def virtual_edges(pairs: DataFrame, cap: int = 5, passes: tuple[int, ...] = (32,
     are taken at once.  pairs: src < dst, sim, of nodes in different basins without an edge; each pass looks at a node's
     nearest so many.
     """
-    pairs = table(pairs.select("src", "dst", "sim"))
+    pairs = table(pairs.select("src", "dst", "sim").distinct())
     chosen = pairs.limit(0)
     both = lambda x: x.select(F.col("src").alias("n"), "*").unionByName(x.select(F.col("dst").alias("n"), "*"))
     by = Window.partitionBy("n").orderBy(F.desc("sim"), "src", "dst")
-    near = table(both(pairs).withColumn("near", F.row_number().over(by)).groupBy("src", "dst", "sim").agg(F.min("near").alias("near")))
+    near = table(both(pairs).withColumn("near", F.row_number().over(by)).groupBy("src", "dst", "sim").agg(F.min("near").alias("near")).filter(F.col("near") <= max(passes)))
     for most in passes:
         while True:
             used = both(chosen).groupBy("n").agg(F.count("*").alias("used"))

@@ -62,6 +62,14 @@ def test_similar_pairs(spark):
         dense.PAIR_BLOCK = was
 
 
+def test_similar_pairs_of_a_large_group(spark):
+    n = 300
+    made = [(i, [1.0, 0.0]) for i in range(n)] + [(n, [0.0, 1.0])]
+    df = spark.createDataFrame(made, "id long, vector array<double>")
+    got = dense.similar_pairs(df, 0.6).collect()
+    assert len(got) == n * (n - 1) // 2 and {(r.src, r.dst) for r in got} == {(i, j) for i in range(n) for j in range(i + 1, n)}
+
+
 def test_exact_and_approximate(spark):
     rng = np.random.default_rng(4)
     v = rng.normal(size=(400, 8))
