@@ -257,10 +257,13 @@ def basins(spark, d):
     return dense.basin_search(m, q, 3, 4).select("qid", "basin_id", *long("basin_rank"), "id", *long("rank"))
 
 
+def _pieces(spark, d) -> DataFrame:
+    return cut(chunked(spark, d).dropDuplicates(["id"]).select("id", "doc_id", "text"))
+
+
 def hybrid_long(spark, d):
     """The long-document search: every benchmark item over the chunks of every document."""
-    c = cut(chunked(spark, d).dropDuplicates(["id"]).select("id", "doc_id", "text"))
-    return search.long_hybrid(c, batch(spark, d)).hybrid.select("qid", "id", "doc_id", *long("rank"))
+    return search.long_hybrid(_pieces(spark, d), batch(spark, d)).hybrid.select("qid", "id", "doc_id", *long("rank"))
 
 
 # briefing
@@ -320,9 +323,9 @@ def citations(spark, d):
 
 
 def passages(spark, d):
-    """Passage recall: the documents' first 200 characters, ranked by lexical score, against each item's own text."""
-    index = lexical.build_index(docs(spark, d))
-    run = lexical.bm25(index, batch(spark, d), 10).join(docs(spark, d), "id").select("qid", "rank", F.substring("text", 1, 200).alias("text"))
+    """Passage recall: the best chunks of whole documents, as the long-document search ranks them, against each item's own text."""
+    c = _pieces(spark, d)
+    run = search.long_hybrid(c, batch(spark, d)).hybrid.select("qid", "id", "rank").join(c.select("id", "text"), "id")
     return metrics.passage_recall(run, batch(spark, d).select("qid", F.col("text").alias("gold")))
 
 

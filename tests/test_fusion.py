@@ -1,6 +1,7 @@
 import pytest
 
 from corpusflow.operators import fusion, metrics
+from corpusflow.plans import registry_graph
 
 
 def hits(spark, rows, columns="qid string, id string, doc_id string, score double, rank int"):
@@ -65,3 +66,13 @@ def test_passages_and_means(spark):
     assert (r.hit, r.covered) == (1.0, 0.5)
     t = spark.createDataFrame([("a", 0.5, True, False), ("b", 0.7, True, False)], "task string, score double, complete boolean, sampled boolean")
     assert metrics.complete_mean(t, 2).first()["mean"] == 0.6 and metrics.complete_mean(t, 3).first()["mean"] is None
+
+
+def test_passages_late_in_a_document(spark, tmp_path):
+    filler = " ".join(f"filler{i % 7} line{i % 5}" for i in range(300))
+    passage = "quartz lanterns illuminate forgotten harbours beneath crimson winter skies"
+    docs = [(1, f"{filler} {passage}. {filler}"), (2, filler), (3, "short text of something else")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(7, passage), (8, "absent zebra umbrella notebook")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {r.qid: (r.hit, r.covered) for r in registry_graph.passages(spark, str(tmp_path)).collect()}
+    assert got == {7: (1.0, 1.0), 8: (0.0, 0.0)}
