@@ -6,21 +6,26 @@ import atexit
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in an Arrow batch: texts can be long, so a batch stays small.
-BATCH_ROWS = 128
+#: What an Arrow batch holds at most: rows, and bytes unless one row has more.
+BATCH_ROWS, BATCH_BYTES = 128, 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where a session names none (tests, a laptop) a temporary folder is made and set.
+    Only where all of Spark runs on this machine (tests, a laptop) and none is named, a temporary folder is made and set.
     """
     top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not top:
+        if not (spark.sparkContext.master or "").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         top = tempfile.mkdtemp(prefix="corpusflow-")
         spark.conf.set("spark.checkpoint.dir", top)
     return top.rstrip("/")
@@ -66,9 +71,34 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bound what one Arrow batch holds; whole texts can be long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> None:
+    """Bound what one Arrow batch holds, in rows and in bytes: whole texts can be long.
+
+    Spark reads these settings of the session when a plan is run, so they are left as they are where they are smaller.
+    """
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        now = str(spark.conf.get(key))
+        if not now.isdigit() or int(now) == 0 or int(now) > most:
+            spark.conf.set(key, str(most))
+
+
+def runs(batches: Iterator[pa.RecordBatch], column: int, size: int) -> Iterator[pa.RecordBatch]:
+    """The batches put together until ``column`` (a string column) holds about ``size`` bytes."""
+    held: list[pa.RecordBatch] = []
+    total = 0
+
+    def whole() -> pa.RecordBatch:
+        return held[0] if len(held) == 1 else pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+    for b in batches:
+        if b.num_rows:
+            held.append(b)
+            total += b.column(column).nbytes
+            if total >= size:
+                yield whole()
+                held, total = [], 0
+    if held:
+        yield whole()
 
 
 def narrow(df: DataFrame, columns: list[str]) -> DataFrame:

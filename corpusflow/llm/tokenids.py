@@ -12,9 +12,11 @@ block, smallest doc_id, id width, number of null doc_ids), the two sequences, th
 Files are written and read by Spark's own writers and readers (a block is one row of the text writer and one row of
 the binary reader), so a task that is lost writes again without leftovers and any store that Spark knows serves.
 
-Defined results: a null or empty text is a document that holds the end id only; null doc_ids come first; rows that
-repeat a doc_id are separate documents in the order of (doc_id, text); an empty table gives no rows; other columns are
-ignored.
+Reading asks ``select`` for the boundaries of the documents that are returned.
+
+Defined results: a null or empty text is a document that holds the end id only; a very long text is one document in a block
+of its own; null doc_ids come first; rows that repeat a doc_id are separate documents in the order of (doc_id, text), those
+equal in both in any order; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,19 +28,30 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
+from .bpe import offsets_of
 
 MAGIC = b"CFTOKEN1"
 HEADER = struct.Struct("<8sIIQQQqII")
 #: Ids in a block before the next one begins; a longer document has a block of its own.
-BLOCK_IDS = 4_000_000
+BLOCK_IDS = 8_000_000
 #: Pieces in each half of a worker's memory, and the longest that it keeps.
-MEMO, MEMO_CHARS = 500_000, 64
+MEMO, MEMO_CHARS = 400_000, 64
+#: Bytes of text that are worked on together; words that go to the library in one call.
+RUN_BYTES, CALL = 2 << 20, 20_000
 SAMPLE = 64
-MARKS = ".,;:!?"
+#: Letters for certain, and marks; an apostrophe isn't one, since it may begin a contraction.
+_LETTER, _MARK = "A-Za-zÀ-ÖØ-öø-ɏ", r"!-&(-/:-@\[-`{-~"
+WORD = re.compile(rf"( ?)([{_LETTER}]+)([{_MARK}]*)").fullmatch
+#: White space other than the plain space and line feed, as a class of the expressions that Arrow runs.
+_BLANK = r"\x00\t\x0b\f\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+_POPCOUNT = np.asarray([b.bit_count() for b in range(256)], np.int64)
+#: Of each byte, the places of its set bits in order.
+_NTH = np.asarray([([k for k in range(8) if b >> k & 1] + [0] * 8)[:8] for b in range(256)], np.int64)
 
 
 class EliasFano:
@@ -106,6 +119,24 @@ class EliasFano:
             low |= (int(self.low[b >> 3]) >> (b & 7) & 1) << k
         return (self.select(i) - i) << self.low_bits | low
 
+    def take(self, places) -> np.ndarray:
+        """The values at these places, by select from the samples."""
+        i = np.asarray(places, dtype=np.int64)
+        if not len(i):
+            return np.zeros(0, np.int64)
+        at, left = self.samples[i // SAMPLE].astype(np.int64), i % SAMPLE
+        byte = at >> 3
+        word = self.high[byte].astype(np.int64) & (0xFF << (at & 7))
+        while (go := left >= (have := _POPCOUNT[word])).any():
+            left = np.where(go, left - have, left)
+            byte = byte + go
+            word = np.where(go, self.high[np.minimum(byte, len(self.high) - 1)], word)
+        out = (byte * 8 + _NTH[word, left] - i) << self.low_bits
+        for k in range(self.low_bits):
+            b = i * self.low_bits + k
+            out |= (self.low[b >> 3].astype(np.int64) >> (b & 7) & 1) << k
+        return out
+
     def all(self) -> np.ndarray:
         """Every value, decoded at once."""
         ones = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n].astype(np.uint64)
@@ -162,10 +193,12 @@ def pack_block(part: int, block: int, before: int, doc_ids: list[int | None], le
 
 
 class PieceEncoder:
-    """The tokenizers library behind a memory of the pieces between spaces.
+    """The tokenizers library behind a memory of the pieces that texts are made of.
 
-    A byte-level pattern starts a new token at each space that a visible character follows, so text falls into
-    independent pieces there; texts with other white space after a space, or with a special token, go to the library whole.
+    A byte-level pattern starts a new token at each space that stands between visible characters, at a mark behind a letter
+    and around a line feed between visible characters, so text falls into independent pieces there.  A run of texts is cut
+    and its distinct pieces are found in Arrow; texts with other white space are cut at such spaces only, and those with
+    a special token go to the library whole.
     """
 
     def __init__(self, path: str):
@@ -176,46 +209,97 @@ class PieceEncoder:
         self.lib.no_padding()
         self.width = 2 if self.lib.get_vocab_size(with_added_tokens=True) < 2**16 else 4
         self.form = f"<u{self.width}"
-        self.special = sorted(t.content for t in self.lib.get_added_tokens_decoder().values())
-        self.odd = re.compile(r" \s|" + "|".join(map(re.escape, self.special)))
-        self.marks = dict(zip(MARKS, self._encode(list(MARKS)), strict=True))
-        self.memo: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        special = sorted(t.content for t in self.lib.get_added_tokens_decoder().values())
+        self.special = re.compile("|".join(map(re.escape, special)) or r"(?!)").search
+        self.odd = "|".join([r"[ \n][ \n]", r"[ \n]\z", f"[{_BLANK}]", *map(re.escape, special)])
+        self.apart = re.compile(r"(?<=\S)(?= \S)").split
+        self.line = int(np.frombuffer(self._encode(["\n"])[0], self.form)[0])
+        self.opens = np.zeros(self.lib.get_vocab_size(with_added_tokens=True), bool)  # tokens that begin with a space
+        self.opens[[i for t, i in self.lib.get_vocab().items() if t[0] == "Ġ"]] = True
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, self.form).tobytes() for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if text[-1] == " " or self.odd.search(text):
-            return self._encode([text])[0]
-        head, *pieces = text.split(" ")
-        new, old = self.memo, self.older
+    def _words(self, words: list[str]) -> Iterator[bytes]:
+        """Ids of words of letters only, all with a space before them or all without one: many in one text."""
+        spaced = bool(words) and words[0][0] == " "
+        for lo in range(0, len(words), CALL):
+            ids = np.frombuffer(self._encode([("" if spaced else "\n").join(words[lo : lo + CALL])])[0], self.form)
+            data, w = ids.tobytes(), self.width
+            if spaced:
+                at = [*np.flatnonzero(self.opens[ids]).tolist(), len(ids)]
+                yield from (data[a * w : b * w] for a, b in zip(at[:-1], at[1:], strict=True))
+            else:
+                at = [-1, *np.flatnonzero(ids == self.line).tolist(), len(ids)]
+                yield from (data[(a + 1) * w : b * w] for a, b in zip(at[:-1], at[1:], strict=True))
+
+    def pieces(self, pieces: list[str]) -> list[bytes]:
+        """Ids of different pieces."""
+        new, old = self.new, self.old
         found = [*map(new.get, pieces)]
-        if None in found:
-            lost = {p for p, f in zip(pieces, found, strict=True) if f is None}
-            made = {p: f for p in lost if (f := old.get(p)) is not None} if old else {}
-            lost.difference_update(made)
-            # a word and the mark that closes it are tokens apart: only the word is looked up or encoded
-            stems = {p: p[:-1] for p in lost if p[-1:] in MARKS and p[:-1].isalpha() and max(p) < "\u0250"}
-            lost.difference_update(stems)
-            for stem in stems.values():
-                if stem not in made:
-                    if (f := new.get(stem) or old.get(stem)) is None:
-                        lost.add(stem)
-                    else:
-                        made[stem] = f
-            rest = list(lost)
-            made.update(zip(rest, self._encode([" " + p for p in rest]), strict=True))
-            for p, stem in stems.items():
-                made[p] = made[stem] + self.marks[p[-1]]
-            found = [made[p] if f is None else f for p, f in zip(pieces, found, strict=True)]
-            if len(new) + len(made) > MEMO:  # what is in use moves on from the older half
-                self.older, self.memo = new, {}
-            self.memo.update((p, f) for p, f in made.items() if len(p) <= MEMO_CHARS)
-        first = self._encode([head])[0] if head else b""
-        return first + b"".join(found)
+        if None not in found:
+            return found
+        made: dict[str, bytes] = {}
+        parts: dict[str, tuple[str, str]] = {}
+        spaced, bare, other = {}, {}, {}
+
+        def want(part: str, into: dict) -> None:
+            if part not in made:
+                if (f := new.get(part) or old.get(part)) is not None:
+                    made[part] = f
+                else:
+                    into[part] = None
+
+        for p, f in zip(pieces, found, strict=True):
+            if f is None and (f := old.get(p)) is not None:
+                made[p] = f
+            elif f is None:
+                m = WORD(p)
+                if m is None:
+                    other[p] = None
+                elif m[3]:
+                    stem = m[1] + m[2]
+                    parts[p] = stem, m[3]
+                    want(stem, spaced if m[1] else bare)
+                    want(m[3], other)
+                else:
+                    (spaced if m[1] else bare)[p] = None
+        for group in (spaced, bare):
+            made.update(zip(group, self._words([*group]), strict=True))
+        made.update(zip(other, self._encode([*other]), strict=True))
+        made.update({p: made[a] + made[b] for p, (a, b) in parts.items()})
+        out = [made[p] if f is None else f for p, f in zip(pieces, found, strict=True)]
+        if len(new) + len(made) > MEMO:  # what is in use moves on from the older half
+            self.old, self.new = new, {}
+        self.new.update((p, f) for p, f in made.items() if len(p) <= MEMO_CHARS)
+        return out
+
+    def run(self, texts: pa.Array) -> list[bytes]:
+        """Ids of whole texts, each packed."""
+        texts = texts.cast(pa.large_string()).fill_null("")
+        odd = pc.match_substring_regex(texts, self.odd)
+        cut = pc.if_else(odd, pa.scalar("", pa.large_string()), texts)
+        cut = pc.replace_substring(pc.replace_substring(cut, " ", "\0 "), "\n", "\0\n\0")
+        lists = pc.split_pattern(pc.replace_substring_regex(cut, r"([A-Za-z])([.,;:!?])", "\\1\0\\2"), "\0")
+        coded = lists.values.dictionary_encode()
+        ids = pa.array(self.pieces(coded.dictionary.to_pylist()), pa.large_binary()).take(coded.indices)
+        ends = offsets_of(ids)[lists.offsets.to_numpy()].tolist()
+        data = memoryview(ids.buffers()[2] or b"")
+        out = [bytes(data[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        for i in np.flatnonzero(odd.to_numpy(zero_copy_only=False)).tolist():
+            text = texts[i].as_py()
+            out[i] = self._encode([text])[0] if self.special(text) else self._apart(self.apart(text))
+        return out
+
+    def _apart(self, pieces: list[str]) -> bytes:
+        known = dict.fromkeys(pieces)
+        known = dict(zip(known, self.pieces([*known]), strict=True))
+        return b"".join([known[p] for p in pieces])
+
+    def encode(self, text: str) -> bytes:
+        return self.run(pa.array([text]))[0]
 
 
 _encoders: dict[str, PieceEncoder] = {}
@@ -235,7 +319,7 @@ def write_token_files(
 ) -> None:
     """Encode every whole text, append ``end_id`` and write block files under ``out`` in ascending order of doc_id.
 
-    The range partitioner also takes the text's hash, so that one doc_id on many rows is spread over parts.
+    The range partitioner also takes the text's hash and the row's place, so one doc_id on many rows is spread over parts.
     """
     spark = df.sparkSession
     file = path or common.tokenizer_path("byte_bpe_50k.json")
@@ -260,9 +344,9 @@ def write_token_files(
                 x.clear()
             return pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], names=["data"])
 
-        for b in batches:
-            for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                data = enc.encode(t or "") + end
+        for b in common.runs(batches, 1, RUN_BYTES):
+            for d, data in zip(b.column(0).to_pylist(), enc.run(b.column(1)), strict=True):
+                data += end
                 size = len(data) // enc.width
                 if held and held + size > BLOCK_IDS:
                     yield flush()
@@ -273,9 +357,10 @@ def write_token_files(
         if held:
             yield flush()
 
-    rows = df.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
-    dealt = rows.repartitionByRange(n, F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), "text")
-    blocks = dealt.mapInArrow(run, "data binary")
+    rows = df.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"), F.xxhash64(F.col(f"`{text}`").cast("string")).alias("h"), F.monotonically_increasing_id().alias("k"))
+    by = [F.col("doc_id").asc_nulls_first(), F.col("h"), F.col("k")]
+    dealt = rows.repartitionByRange(n, *by).sortWithinPartitions(*by)
+    blocks = dealt.select("doc_id", "text").mapInArrow(run, "data binary")
     blocks.select(F.col("data").cast("string").alias("value")).write.option("maxRecordsPerFile", 1).text(out)
 
 
@@ -302,15 +387,15 @@ def read_token_files(spark: SparkSession, out: str) -> DataFrame:
         for b in batches:
             for data in b.column(0):
                 x = Block(data.as_py())
-                ends = x.ends.all().astype(np.int64)
-                begins = np.concatenate([[0], ends[:-1]])
-                names = [None] * x.nulls + (x.above.all().astype(np.int64) + x.least).tolist()
                 base = starts[x.part] + x.before
                 for lo in range(0, x.docs, 256):
                     hi = min(x.docs, lo + 256)
-                    ids = [x.array[a:e].astype("<u4").tobytes() for a, e in zip(begins[lo:hi], ends[lo:hi], strict=True)]
+                    ends = x.ends.take(range(lo, hi))
+                    begins = np.concatenate([[x.ends[lo - 1] if lo else 0], ends[:-1]])
+                    names = [None] * max(0, x.nulls - lo) + (x.above.take(range(max(0, lo - x.nulls), hi - x.nulls)) + x.least).tolist()
+                    ids = [x.array[a:e].astype("<u4").tobytes() for a, e in zip(begins, ends, strict=True)]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(names[lo:hi], pa.int64()), pa.array(begins[lo:hi] + base), pa.array(ends[lo:hi] - begins[lo:hi]), pa.array(ids, pa.binary())],
+                        [pa.array(names[: hi - lo], pa.int64()), pa.array(begins + base), pa.array(ends - begins), pa.array(ids, pa.binary())],
                         names=["doc_id", "start", "n_tokens", "ids"],
                     )
 

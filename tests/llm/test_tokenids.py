@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -20,7 +21,7 @@ def test_elias_fano(values):
     e = K.EliasFano.build(values)
     back, n = K.EliasFano.unpack(memoryview(e.pack()))
     assert n == len(e.pack())
-    assert back.all().tolist() == values and [back[i] for i in range(len(values))] == values
+    assert back.take(range(len(values))).tolist() == back.all().tolist() == values and [back[i] for i in range(len(values))] == values
 
 
 def test_elias_fano_is_small():
@@ -39,6 +40,18 @@ def test_texts_of_note():
         assert np.frombuffer(OWN.encode(t), OWN.form).tolist() == LIB.encode(t, add_special_tokens=False).ids
 
 
+def test_runs_and_memory(monkeypatch):
+    """Many texts at once, slices, and a memory so small that it turns over all the time."""
+    monkeypatch.setattr(K, "MEMO", 20)
+    own = K.PieceEncoder(PATH)
+    rng = np.random.default_rng(2)
+    parts = ["word", "Über", "été,", "x1", "it's", "\n", "  ", "end.", "!!", "a.b", "\t", "<|endoftext|>", "нет", "語", "\u00a0", "\0", "é.\nIs", "--", "''"]
+    texts = [rng.choice([" ", "", "\n"]).join(rng.choice(parts, rng.integers(0, 40))) for _ in range(400)] + ["no " * 100_000]
+    want = [np.asarray(e.ids, own.form).tobytes() for e in LIB.encode_batch_fast(texts, add_special_tokens=False)]
+    assert own.run(pa.array(texts)) == want
+    assert own.run(pa.array(texts).slice(7, 200)) == want[7:207] and own.run(pa.array([None, ""], pa.string())) == [b"", b""]
+
+
 def expected(rows):
     start, out = 0, []
     for d, t in rows:
