@@ -1,17 +1,23 @@
 """9. Personal data: candidate spans, boosted trees, calibrated thresholds.
 
 The base patterns (email, ip, card, phone) are certain.  High-recall generators propose further, overlapping spans:
-spelled-out addresses, digit groups without a country code, long digit runs, dotted numbers.  Boosted trees score each
-by its format (digits, groups, separators, checksum, letters) and context (words just before, what touches it).  A
-candidate is added where its score passes the threshold of its kind, which calibration sets to a precision, and where it
-overlaps no span that stands before it.
+spelled-out addresses, digit groups without a country code, all runs of 9 to 19 digits, digit groups of any size with 13 to 19
+digits, dotted numbers.  Boosted trees score each by its format (digits, groups, separators, checksum, letters) and context
+(words just before, what touches it).  A candidate is added where its calibrated score reaches the threshold of its kind, which
+is set to a precision on held-out findings, and where it overlaps no span that stands before it.
+
+The trees learn labelled findings.  Of the table, at most ``SAMPLE`` different texts teach (those with the smallest hashes):
+each base finding there, written in a form that the base patterns don't know and left in its context, is personal data;
+digit runs and groups of a card's length that fail the checksum are none.  Generated findings and look-alikes join them, half
+in contexts of the table.  A fourth of the texts, and of the generated findings, is held out for calibration and thresholds.
 
 All of it is DataFrame functions: a match's place comes from the lengths of the pieces between matches, the trees are CASE
-expressions inside higher-order functions.  A row is worked on alone; nothing is shuffled.  The trees are fitted on the
-driver from generated labelled findings (``labelled``), about 4,000 rows whatever the input.
+expressions inside higher-order functions (a threshold on the calibrated score is one on the margin, as calibration is
+monotone).  A row is worked on alone; only the sample that teaches is shuffled.
 
-Defined results: null and empty texts have no spans; places are code points, end exclusive; repeated rows each get their
-own result; an empty table gives no rows; other columns pass through, those with the operator's names are replaced.
+Defined results: null and empty texts have no spans; very long texts are searched whole; places are code points, end
+exclusive; repeated rows each get their own result; an empty table gives no rows (the trees then know generated findings
+only); other columns pass through, those with the operator's names are replaced.
 """
 
 from __future__ import annotations
@@ -35,13 +41,13 @@ CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 
 #: Generators of further candidates: kind and pattern (Java and Python read both alike).
-_WORD = r"[A-Za-z0-9._%+-]{1,64}"
+_AT, _DOT = (rf"\x20?[\[({{{{]\x20?(?:{x}|{x.upper()})\x20?[\])}}}}]\x20?".replace("{{", "{").replace("}}", "}") for x in ("at", "dot"))
 GENERATORS = (
-    ("email", rf"(?<![A-Za-z0-9._%+-]){_WORD}\x20?[\[({{]\x20?(?:at|AT)\x20?[\])}}]\x20?[A-Za-z0-9-]{{1,63}}(?:(?:\.|\x20?[\[({{]\x20?(?:dot|DOT)\x20?[\])}}]\x20?)[A-Za-z0-9-]{{1,63}}){{1,4}}"),
+    ("email", rf"(?<!{_L}){_L}++{_AT}[A-Za-z0-9-]++(?:(?:\.|{_DOT})[A-Za-z0-9-]++)++"),
     ("phone", r"(?<![0-9A-Za-z.+(-])\(?[0-9]{2,4}\)?[\x20.-]{1,2}[0-9]{2,4}[\x20.-][0-9]{2,5}(?:[\x20.-][0-9]{2,5})?(?![0-9A-Za-z])"),
-    ("phone", r"(?<![0-9A-Za-z.+-])0[0-9]{8,11}(?![0-9A-Za-z])"),
-    ("card", r"(?<![0-9A-Za-z])[0-9]{4}(?:[./_\x20-]{1,2}[0-9]{4}){3}(?![0-9A-Za-z])"),
-    ("ip", r"(?<![0-9A-Za-z.])[0-9]{1,3}(?:\x20?[\[({]\x20?\.\x20?[\])}]\x20?[0-9]{1,3}){3}(?![0-9A-Za-z.])"),
+    ("phone", r"(?<![0-9A-Za-z.+-])[0-9]{9,12}(?![0-9A-Za-z])"),
+    ("card", r"(?<![0-9A-Za-z])[0-9]{2,18}+(?:[./_\x20-]{1,2}[0-9]{2,18}+)*+(?![0-9A-Za-z])"),
+    ("ip", r"(?<![0-9A-Za-z.])[0-9]++(?:\x20?[\[({]\x20?\.\x20?[\])}]\x20?[0-9]++){3}(?![0-9A-Za-z.])"),
 )
 CUES = {
     "email": r"(?i)(?:mail|contact|write|reach|address)",
@@ -51,7 +57,9 @@ CUES = {
     "none": r"(?i)(?:order|invoice|isbn|version|page|section|serial|part|model|sku|date|total|room|no\.|#)",
 }
 CONTEXT = 24
-FEATURES = ("length", "digits", "groups", "first", "second", "last", "luhn", "brackets", "dots", "cue", "against", "colon", "kind")
+#: Different texts of the table that teach, at most, and their findings, at most.
+SAMPLE, FINDINGS = 20_000, 4000
+FEATURES = ("length", "digits", "groups", "first", "second", "last", "luhn", "octets", "brackets", "dots", "cue", "against", "colon", "kind")
 
 
 def spans_of(text: Column, pattern: str, needs: str) -> Column:
@@ -112,6 +120,7 @@ def _feature_columns(kind: str, span: Column, before: Column) -> list[Column]:
         F.coalesce(F.length(F.get(groups, F.lit(1))), F.lit(0)),
         F.length(F.element_at(groups, -1)),
         one(luhn(digits)),
+        one(F.forall(groups, lambda g: (F.length(g) < 3) | ((F.length(g) == 3) & (g <= "255")))),
         one(span.rlike(r"[\[({]")),
         F.length(F.regexp_replace(span, r"[^.]", "")),
         one(before.rlike(CUES[kind])),
@@ -134,6 +143,7 @@ def _features(kind: str, span: str, before: str) -> list[float]:
         len(groups[1]) if len(groups) > 1 else 0,
         len(groups[-1]),
         total % 10 == 0,
+        all(len(g) < 3 or len(g) == 3 and g <= "255" for g in groups),
         bool(re.search(r"[\[({]", span)),
         span.count("."),
         bool(re.search(CUES[kind], before)),
@@ -143,68 +153,130 @@ def _features(kind: str, span: str, before: str) -> list[float]:
     ]
 
 
-def labelled(n: int = 4000, seed: int = 9) -> list[tuple[str, str, str, int]]:
-    """Generated findings (kind, span, text before, label), half of them look-alikes."""
+Finding = tuple[str, str, str, int]
+
+
+def checked(rng: random.Random, k: int) -> str:
+    """Digits that pass the checksum."""
+    d = "".join(rng.choices("0123456789", k=k - 1))
+    total = sum((int(c) * 2 - (9 if int(c) > 4 else 0)) if i % 2 == 0 else int(c) for i, c in enumerate(reversed(d)))
+    return d + str(-total % 10)
+
+
+def rewritten(rng: random.Random, kind: str, span: str) -> str:
+    """A base finding in a form that the base patterns don't know."""
+    digits = re.sub("[^0-9]", "", span)
+    if kind == "email":
+        o, c = rng.choice(["()", "[]", "{}"])
+        name, host = span.split("@", 1)
+        dot = rng.choice([".", f" {o}dot{c} ", f"{o}dot{c}"])
+        return f"{name}{rng.choice(['', ' '])}{o}at{c}{rng.choice(['', ' '])}{host.replace('.', dot)}"
+    if kind == "phone":
+        d = digits[-10:]
+        return rng.choice([f"({d[:3]}) {d[3:6]}-{d[6:]}", f"({d[:3]}) {d[3:6]}-{d[6:]}", f"{d[:3]}-{d[3:6]}-{d[6:]}", f"0{d}"])
+    if kind == "card":
+        sep = rng.choice([".", "_", "/", "--"])
+        cut = (4, 10) if len(digits) == 15 else (4, 8, 12, 16)
+        return sep.join(digits[a:b] for a, b in zip((0, *cut), (*cut, None)) if digits[a:b])  # noqa: B905
+    return span.replace(".", rng.choice(["[.]", "(.)", "{.}", " [.] "]))
+
+
+def labelled(n: int = 4000, seed: int = 9, contexts: list[str] | None = None) -> list[Finding]:
+    """Generated findings (kind, span, text before, label), half of them look-alikes; half in ``contexts`` where there are any."""
     rng = random.Random(seed)
     dig = lambda k: "".join(rng.choices("0123456789", k=k))
     name = lambda: rng.choice(["ann", "j.doe", "info", "li.wei", "maria_s", "k99"])
-
-    def checked(k: int) -> str:
-        d = dig(k - 1)
-        total = sum((int(c) * 2 - (9 if int(c) > 4 else 0)) if i % 2 == 0 else int(c) for i, c in enumerate(reversed(d)))
-        return d + str(-total % 10)
-
     yes = {"email": ["mail me at ", "contact: ", "e-mail: ", "reach me "], "phone": ["call me on ", "phone: ", "tel. ", "mobile ", "fax: "], "card": ["card number ", "visa: ", "pay with card "], "ip": ["login from ip ", "server ", "host: "]}
     no = ["order ", "invoice no. ", "ISBN ", "version ", "page ", "section ", "serial: ", "part ", "the total of ", "and then ", "between ", "in ", "model "]
     out = []
     for _ in range(n):
         kind, real = rng.choice(KINDS), rng.random() < 0.5
-        before = rng.choice(yes[kind] if real else no)
-        if real and rng.random() < 0.08:
-            before = rng.choice(["", "the "])
-        if kind == "email":
+        cue = rng.choice(yes[kind] if real else no)
+        before = rng.choice(contexts) if contexts and rng.random() < 0.5 else cue
+        if real:
+            span = {"email": f"{name()}@{rng.choice(['mail', 'web', 'corp'])}.{rng.choice(['com', 'org', 'net', 'co.uk'])}", "phone": "+1" + dig(10), "card": checked(rng, rng.choice([15, 16, 16, 16])), "ip": ".".join(str(rng.randrange(256)) for _ in range(4))}[kind]
+            s = rewritten(rng, kind, span)
+            if kind == "phone" and before is cue and rng.random() < 0.3:
+                s = rng.choice([f"{dig(2)} {dig(4)} {dig(4)}", dig(10)])
+        elif kind == "email":
             o, c = rng.choice(["()", "[]", "{}"])
-            s = f"{name()} {o}at{c} {rng.choice(['mail', 'web', 'corp'])}{rng.choice(['.', f' {o}dot{c} '])}{rng.choice(['com', 'org', 'net'])}"
-            if not real:
-                s = f"{rng.choice(['look', 'x', 'f', '3'])}{o}at{c}{rng.choice(['0', 'k', 'top'])}.{rng.choice(['0', 'i', 'x1'])}"
+            s = f"{rng.choice(['look', 'x', 'f', '3'])}{o}at{c}{rng.choice(['0', 'k', 'top'])}.{rng.choice(['0', 'i', 'x1'])}"
         elif kind == "phone":
-            s = rng.choice([f"({dig(3)}) {dig(3)}-{dig(4)}", f"{dig(3)}-{dig(3)}-{dig(4)}", f"0{dig(10)}", f"{dig(2)} {dig(4)} {dig(4)}"])
-            if not real:
-                s = rng.choice([f"{dig(3)}-{dig(2)}-{dig(4)}", f"{dig(2)}.{dig(2)}.{dig(4)}", f"{dig(4)}-{dig(2)}-{dig(2)}", f"0{dig(9)}", f"{dig(3)} {dig(3)} {dig(3)}"])
+            s = rng.choice([f"{dig(3)}-{dig(2)}-{dig(4)}", f"{dig(2)}.{dig(2)}.{dig(4)}", f"{dig(4)}-{dig(2)}-{dig(2)}", f"0{dig(9)}", f"{dig(3)} {dig(3)} {dig(3)}", dig(9), dig(10), dig(12)])
         elif kind == "card":
-            k = checked(16) if real else dig(16)
-            sep = rng.choice([".", "_", "/", "--"])
-            s = sep.join(k[i : i + 4] for i in range(0, 16, 4))
+            k = dig(rng.choice([13, 15, 16, 16, 18]))
+            sep = rng.choice([".", "_", "/", "--", " ", "-", ""])
+            s = sep.join(k[i : i + 4] for i in range(0, len(k), 4))
         else:
-            sep = rng.choice(["[.]", "(.)"])
-            s = sep.join(str(rng.randrange(256 if real else 1000)) for _ in range(4))
+            s = rng.choice(["[.]", "(.)"]).join(str(rng.randrange(1000)) for _ in range(4))
         out.append((kind, s, before, int(real)))
     return out
 
 
-@lru_cache(maxsize=2)
-def model(precision: float = 0.98) -> tuple[gbt.Boosted, tuple[float, ...]]:
-    """The trees and, for each kind, the least calibrated score at which a held-out part reaches ``precision``."""
-    rows = labelled()
-    x = np.asarray([_features(k, s, b) for k, s, b, _ in rows], float)
-    y = np.asarray([r[3] for r in rows], float)
-    held = np.arange(len(rows)) % 4 == 0
-    trees = gbt.fit(x[~held], y[~held], rounds=25, depth=3, rate=0.3)
-    trees.calibrate(x[held], y[held])
-    p, margins = trees.predict(x[held]), trees.margin(x[held])
-    cuts = []
-    for k in range(len(KINDS)):
-        mine = x[held][:, -1] == k
-        order = np.argsort(-margins[mine], kind="stable")
-        good = np.cumsum(y[held][mine][order]) / np.arange(1, mine.sum() + 1)
-        enough = np.flatnonzero((good >= precision) & (p[mine][order] >= 0.5))
-        cuts.append(float(margins[mine][order][enough[-1]]) if len(enough) else float("inf"))
-    return trees, tuple(cuts)
-
-
-def find(df: DataFrame, text: str = "text") -> DataFrame:
+def findings(df: DataFrame, text: str = "text", most: int = SAMPLE) -> list[tuple[str, str, str, int, bool]]:
+    """At most ``FINDINGS`` findings (kind, span, before, label, held) in ``most`` different texts of the table."""
+    own = df.select(F.col(f"`{text}`").cast("string").alias("t")).filter("t is not null")
+    hashed = own.select("t", F.xxhash64(F.lit(9), "t").alias("h"))
+    last = hashed.select("h").distinct().orderBy("h").limit(most).agg(F.max("h")).first()[0]
+    if last is None:
+        return []
+    # copies of a text are one: what is kept is bounded however often it occurs
+    sample = hashed.filter(F.col("h") <= last).groupBy("h").agg(F.first("t").alias("t"))
+    t = F.col("t")
+    card = next(p for k, p in GENERATORS if k == "card")
+    wrong = F.filter(spans_of(t, card, "[0-9]{2}"), lambda x: F.length(digits_of(x["text"])).between(13, 19) & ~luhn(digits_of(x["text"])))
+    before = lambda x: F.substring(t, F.greatest(x["start"] + 1 - CONTEXT, F.lit(1)), F.least(F.lit(CONTEXT), x["start"]))
+    shape = lambda k, y: lambda x: F.struct(F.lit(k).alias("kind"), x["text"].alias("span"), before(x).alias("before"), F.lit(y).alias("label"))
+    rows = F.concat(*[F.transform(c, shape(k, 1)) for k, c in base_spans(t).items()], F.transform(wrong, shape("card", 0)))
+    found = sample.select(F.explode(rows).alias("x"), (F.pmod("h", F.lit(4)) == 0).alias("held")).select("x.*", "held").distinct()
+    return [tuple(r) for r in found.orderBy(F.xxhash64("span", "before"), "span", "before").limit(FINDINGS).collect()]
+
+
+class Model:
+    """Trees, and for each kind the least calibrated score (and the margin where it begins) that reaches ``precision``."""
+
+    def __init__(self, rows: list[tuple[str, str, str, int, bool]], precision: float = 0.98):
+        x = np.asarray([_features(k, s, b) for k, s, b, _, _ in rows], float)
+        y, held = np.asarray([r[3] for r in rows], float), np.asarray([r[4] for r in rows], bool)
+        self.trees = gbt.fit(x[~held], y[~held], rounds=25, depth=3, rate=0.3)
+        self.trees.calibrate(x[held], y[held])
+        score, margin = self.trees.predict(x[held]), self.trees.margin(x[held])
+        self.least, self.margins = [], []
+        for k in range(len(KINDS)):
+            mine = x[held][:, -1] == k
+            order = np.argsort(-score[mine], kind="stable")
+            s, good = score[mine][order], np.cumsum(y[held][mine][order]) / np.arange(1, mine.sum() + 1)
+            last = np.append(s[1:] < s[:-1], True) if len(s) else np.zeros(0, bool)  # equal scores pass together
+            enough = np.flatnonzero((good >= precision) & (s >= 0.5) & last)
+            self.least.append(float(s[enough[-1]]) if len(enough) else float("inf"))
+            passed = margin[mine][score[mine] >= self.least[-1]]
+            self.margins.append(float(passed.min()) if len(passed) else float("inf"))
+
+    def accepts(self, kind: str, span: str, before: str) -> bool:
+        return self.trees.margin(np.asarray([_features(kind, span, before)], float))[0] >= self.margins[KINDS.index(kind)]
+
+
+@lru_cache(maxsize=1)
+def generated_model() -> Model:
+    return Model([(*r, i % 4 == 0) for i, r in enumerate(labelled())])
+
+
+def train(df: DataFrame, text: str = "text", most: int = SAMPLE) -> Model:
+    """A model for a table: its own findings and generated ones."""
+    rows = findings(df, text, most)
+    if not rows:
+        return generated_model()
+    rng = random.Random(99)
+    own = [(k, rewritten(rng, k, s) if y else s, b, y, h) for k, s, b, y, h in rows]
+    contexts = {h: [b for _, _, b, _, held in rows if held == h] for h in (False, True)}
+    made = [(*r, False) for r in labelled(3000, 9, contexts[False])] + [(*r, True) for r in labelled(1000, 19, contexts[True])]
+    return Model(own + made)
+
+
+def find(df: DataFrame, text: str = "text", model: Model | None = None) -> DataFrame:
     """Add ``base`` and ``spans``: arrays of (kind, start, end) by kind as listed and start; spans holds base."""
-    trees, cuts = model()
+    model = model or train(df, text)
+    trees, cuts = model.trees, model.margins
     keep = [F.col(f"`{c}`") for c in df.columns if c not in ("base", "spans")]
     step = df.select(*keep, F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("__t"))
     t = F.col("__t")
@@ -224,7 +296,10 @@ def find(df: DataFrame, text: str = "text") -> DataFrame:
     for kind, pattern in GENERATORS:
         needs = r"(?i)[\[({]\x20?at\x20?[\])}]" if kind == "email" else r"[0-9]{2}" if kind != "ip" else r"[0-9]\x20?[\[({]"
 
-        raw.append(F.transform(F.filter(spans_of(t, pattern, needs), passes(kind)), shape(kind)))
+        found = spans_of(t, pattern, needs)
+        if kind == "card":
+            found = F.filter(found, lambda x: F.length(digits_of(x["text"])).between(13, 19))
+        raw.append(F.transform(F.filter(found, passes(kind)), shape(kind)))
     step = step.select("*", F.concat(*raw).cast(spans).alias("__more"))
     apart = lambda a, b: (a["end"] <= b["start"]) | (b["end"] <= a["start"])
     # candidates in order; each stays if it overlaps nothing that stands

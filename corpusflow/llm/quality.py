@@ -5,18 +5,17 @@ neighbouring labels; Viterbi decoding finds the best labelling of a whole text,
 decides whether the text is kept.
 
 The weights are fitted on the driver to at most ``SAMPLE`` labelled documents (``labels.quality``; the lines of a good document
-are content, those of a bad one boilerplate, one run of at most ``SEGMENT`` lines from each) and to generated lines, which
+are content, those of a bad one boilerplate; all their lines, in sequences of ``SEGMENT``) and to generated lines, which
 also serve alone where there are no labels.  Everything else covers whole texts.
 
 Defined results: a null text has no words and counts of zero, and fails the base rule (fewer than 10 words), as an empty
-one does; a text without lines that hold a word has no content share and isn't kept; repeated rows each get their own result;
+one does; a very long text is counted and decoded whole; a text without lines that hold a word has no content share and isn't kept; repeated rows each get their own result;
 an empty table gives no rows; other columns pass through, those named like an output column are replaced.
 """
 
 from __future__ import annotations
 
 import random
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -160,17 +159,13 @@ def train(docs: DataFrame | None = None, labels: DataFrame | None = None, most:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                out = []
-                for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                    x = text_features(lines_of((t or "").encode()))
-                    first = zlib.crc32(str(d).encode()) % max(1, len(x) - SEGMENT + 1)
-                    out.append([v for row in x[first : first + SEGMENT] for v in row])
+                out = [[v for row in text_features(lines_of((t or "").encode())) for v in row] for t in b.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(out, pa.list_(pa.float64()))], names=["d", "y", "x"])
 
         for r in sorted(rows.mapInArrow(run, "d long, y int, x array<double>").collect(), key=lambda r: (r.d, r.y, r.x)):
             x = np.asarray(r.x, float).reshape(-1, len(FEATURES))
-            if len(x):
-                sequences.append((x, np.full(len(x), int(r.y > 0))))
+            for lo in range(0, len(x), SEGMENT):
+                sequences.append((x[lo : lo + SEGMENT], np.full(len(x[lo : lo + SEGMENT]), int(r.y > 0))))
     return fit(sequences)
 
 

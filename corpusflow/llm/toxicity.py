@@ -4,11 +4,13 @@ Features: densities of a lexicon learned from the labels, how near its words sta
 punctuation, and obfuscation (signs or digits inside words, and lexicon words that appear once those are undone).
 
 Learning uses only labelled rows whose crc32(doc_id as text) mod 5 is not 0, at most ``SAMPLE`` of them (in the order of a
-hash of the id; every label where there are fewer).  Word counts of the sample are summed on the executors, the lexicon has
-at most ``LEXICON`` words, and the driver gets that lexicon and the sample's dense features: sizes that the input doesn't
-move.  Labels, language, source and ids never enter a score.  Scoring reads every whole text.
+hash of the id; every label where there are fewer).  A fifth of them, dealt by a hash of the text so that copies stay
+together, is for calibration alone: neither lexicon nor trees see it.  Word counts of the rest are summed on the executors,
+the lexicon has at most ``LEXICON`` words, and the driver gets that lexicon and the sample's dense features: sizes that the
+input doesn't move.  Labels, language, source and ids never enter a score.  Scoring reads every whole text; letter case is
+that of Unicode.
 
-Defined results: null, empty and word-less texts are scored like any (all features 0); rows without a label, or with a null
+Defined results: null, empty and word-less texts are scored like any (all features 0), very long ones as a whole; rows without a label, or with a null
 label or doc_id, teach nothing; with no usable labels, or labels of one kind, every score is that share of ones (0 without
 any); repeated rows each get their score; an empty table gives no rows; other columns pass through ``classify``, those named
 like its outputs are replaced.
@@ -18,6 +20,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,26 +40,35 @@ _SIGNS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _PLAIN = bytes.maketrans(bytes(c for c in _SIGNS if c not in b"@$!*'"), b" " * (len(_SIGNS) - 5))
 _UNDO = bytes.maketrans(b"@$!013457", b"asioieast")
 _HIDDEN = re.compile(rb"[a-z][@$!*0-9]+[a-z]")
-_KINDS = np.zeros(256, np.int64)
-_KINDS[65:91], _KINDS[97:123] = 1, 2
-_KINDS[[*b"!?"]] = 3
-_KINDS[[c for c in _SIGNS if c not in b"!?"]] = 4
-_KINDS[48:58] = 5
 FEATURES = ("hits", "distinct", "density", "weight", "strongest", "near_you", "undone", "hidden", "capitals", "loud", "marks", "signs", "figures", "words")
 
 
-def words_of(text: bytes) -> list[bytes]:
-    return [w.strip(b"@$!*'") for w in text.lower().translate(_PLAIN).split()]
+@lru_cache(maxsize=1)
+def _kinds() -> np.ndarray:
+    """What a character is: 1 capital, 2 other letter, 3 shout, 4 sign, 5 digit; code points from 65,535 on share an entry."""
+    out = np.zeros(1 << 16, np.int64)
+    for o in range(128, (1 << 16) - 1):
+        c = chr(o)
+        out[o] = 1 if c.isupper() else 2 if c.isalpha() else 0
+    out[65:91], out[97:123], out[48:58] = 1, 2, 5
+    out[[*_SIGNS]] = 4
+    out[[*b"!?"]] = 3
+    return out
+
+
+def words_of(text: str) -> list[bytes]:
+    return [w.strip(b"@$!*'") for w in text.lower().encode().translate(_PLAIN).split()]
 
 
 def features(text: str | None, lexicon: dict[bytes, float]) -> list[float]:
-    data = (text or "").encode()
-    words = words_of(data)
+    text = text or ""
+    low = text.lower().encode()
+    words = [w.strip(b"@$!*'") for w in low.translate(_PLAIN).split()]
     n = max(1, len(words))
     at = [i for i, w in enumerate(words) if w in lexicon]
     weights = [lexicon[words[i]] for i in at]
     undone = hidden = 0
-    if _HIDDEN.search(data.lower()):
+    if _HIDDEN.search(low):
         for w in words:
             if _HIDDEN.search(w):
                 hidden += 1
@@ -68,22 +80,23 @@ def features(text: str | None, lexicon: dict[bytes, float]) -> list[float]:
         k = np.searchsorted(places, at)
         gap = np.minimum(np.abs(places[np.minimum(k, len(places) - 1)] - at), np.abs(places[np.maximum(k - 1, 0)] - at))
         near = int((gap <= NEAR).sum())
-    kinds = np.bincount(_KINDS[np.frombuffer(data, np.uint8)], minlength=6) if data else np.zeros(6)
-    size, letters = max(1, len(data)), max(1, kinds[1] + kinds[2])
+    points = np.minimum(np.frombuffer(text.encode("utf-32-le"), "<u4"), 0xFFFF)
+    kinds = np.bincount(_kinds()[points], minlength=6) if text else np.zeros(6)
+    size, letters = max(1, len(text)), max(1, kinds[1] + kinds[2])
     return [
-        min(len(at), 50), min(len({words[i] for i in at}), 20), len(at) / n, sum(weights) / n, max(weights, default=0.0), near / n,
+        len(at), len({words[i] for i in at}), len(at) / n, sum(weights) / n, max(weights, default=0.0), near / n,
         undone / n, hidden / n, kinds[1] / letters, float(kinds[1] > 0.6 * letters), kinds[3] / size, kinds[4] / size, kinds[5] / size, float(np.log1p(len(words))),
     ]
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> DataFrame:
-    """(text, label): a bounded sample of the labelled rows that may teach, as a table."""
+    """(text, label, held): a bounded sample of the labelled rows that may teach, as a table; held ones are for calibration."""
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
     usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("double").alias("label")).filter((fold != 0) & F.col("label").isNotNull())
     chosen = usable.orderBy(F.xxhash64(F.lit(4), "doc_id"), "doc_id", "label").limit(most)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     # at most ``most`` ids: the bound is the parameter
-    return common.materialize(texts.join(F.broadcast(chosen), "doc_id").select("text", "label"), "toxic")
+    return common.materialize(texts.join(F.broadcast(chosen), "doc_id").select("text", "label", (F.pmod(F.xxhash64(F.lit(44), "text"), F.lit(5)) == 0).alias("held")), "toxic")
 
 
 def learn_lexicon(rows: DataFrame, size: int = LEXICON) -> dict[bytes, float]:
@@ -93,8 +106,8 @@ def learn_lexicon(rows: DataFrame, size: int = LEXICON) -> dict[bytes, float]:
         counts: dict[bytes, list[int]] = {}
         for b in batches:
             for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                for w in set(words_of((t or "").encode())):
-                    if 1 < len(w) <= 40:
+                for w in set(words_of(t or "")):
+                    if len(w) > 1:
                         counts.setdefault(w, [0, 0])[int(y > 0.5)] += 1
             if len(counts) > 200_000:
                 yield batch(counts)
@@ -130,22 +143,25 @@ class Model:
 def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model:
     common.small_batches(docs.sparkSession)
     rows = training_rows(docs, labels, most)
-    lexicon = learn_lexicon(rows)
+    lexicon = learn_lexicon(rows.filter(~F.col("held")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = [features(t, lexicon) for t in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), b.column(1)], names=["x", "y"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), b.column(1), b.column(2)], names=["x", "y", "held"])
 
-    got = rows.mapInArrow(run, "x array<double>, y double").collect()  # at most ``most`` rows of a few numbers
-    got.sort(key=lambda r: (r.x, r.y))
+    got = rows.mapInArrow(run, "x array<double>, y double, held boolean").collect()  # at most ``most`` rows of a few numbers
+    got.sort(key=lambda r: (r.x, r.y, r.held))
     y = np.asarray([r.y > 0.5 for r in got], float)
     if not len(y) or y.min() == y.max():
         return Model(lexicon, None, float(y.mean()) if len(y) else 0.0)
     x = np.asarray([r.x for r in got], float)
-    held = np.arange(len(y)) % 5 == 4
+    held = np.asarray([r.held for r in got], bool)
+    if held.all() or not held.any():
+        held = np.arange(len(y)) % 5 == 4  # so few rows that one part is empty
     trees = gbt.fit(x[~held], y[~held], rounds=40, depth=3)
-    trees.calibrate(x[held], y[held])
+    if held.any():
+        trees.calibrate(x[held], y[held])
     return Model(lexicon, trees, float(y.mean()))
 
 

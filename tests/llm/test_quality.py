@@ -67,3 +67,39 @@ def test_operator(spark):
         assert r.base_failed == (n < 10 or 100 * rep > 20 * n) and not (r.base_failed and r.kept)
     assert Q.judge(df.filter("false"), Q.train()).count() == 0
     assert len(Q.train(df.limit(0), spark.createDataFrame([], "doc_id long, quality int")).pairs) == 2
+
+
+def test_query(spark):
+    """The registered query over its whole table: base columns by brute force, the verdict by the field and Viterbi."""
+    d = "/root/testdata/sf0.001"
+    text = {r.doc_id: r.text for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
+    f = Q.train(spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet"))
+    got = Q.op5_quality(spark, d).collect()
+    assert sorted(r.doc_id for r in got) == sorted(text)
+    for r in got:
+        n, chars, symbols, dup, rep = brute(text[r.doc_id])
+        failed = n < 10 or 100 * rep > 20 * n
+        lines = [x for x in text[r.doc_id].encode().split(b"\n") if x.strip()]
+        y = f.viterbi(np.asarray(Q.text_features(lines), float))
+        sizes = [len(x.strip()) for x in lines]
+        share = sum(s for s, k in zip(sizes, y, strict=True) if k) / sum(sizes)
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == (n, chars, symbols, dup, rep, failed)
+        assert r.kept == (not failed and share >= Q.SHARE) and abs(r.content_share - share) < 1e-12
+
+
+def test_query_of_an_empty_table_and_long_texts(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    assert Q.op5_quality(spark, str(tmp_path)).count() == 0
+    long = "\n".join(f"Line {i} of a long text has its own words here, number {i * 7}." for i in range(30_000))
+    r = Q.judge(spark.createDataFrame([(1, long), (1, long)], "doc_id long, text string"), Q.train()).collect()
+    assert len(r) == 2 and r[0].n_words == len(WORD.findall(long)) and len(r[0].line_labels) == 30_000
+
+
+def test_every_line_teaches(spark):
+    """Lines behind the 32nd of a document count in the fit."""
+    text = "\n".join(["An ordinary sentence stands here for once."] * 40 + ["### $$$ ### $$$ ### $$$ %%%"] * 400)
+    docs = spark.createDataFrame([(i, text) for i in range(30)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1) for i in range(30)], "doc_id long, quality int")
+    late = np.asarray(Q.text_features([b"### $$$ ### $$$ ### $$$ %%%"] * 5))
+    assert sum(Q.train(docs, labels).viterbi(late)) == 5 and sum(Q.train().viterbi(late)) == 0

@@ -36,11 +36,58 @@ def test_base_spans():
 
 
 def test_network_on_other_findings():
-    net, least = S.model()
+    model = S.generated_model()
     rows = S.labelled(600, seed=71)
-    said = net.margin(np.stack([S.encode(t, a, b) for t, a, b, _ in rows])) >= least
+    said = model.net.margin([S.encode(t, a, b) for t, a, b, _ in rows]) >= model.least
     y = np.asarray([r[3] for r in rows], bool)
-    assert (said & y).sum() / y.sum() > 0.9 and (said & y).sum() / said.sum() > 0.95
+    assert (said & y).sum() / y.sum() > 0.93 and (said & y).sum() / said.sum() > 0.93
+    assert model.recall >= S.RECALL and 0 <= model.score(np.asarray([-50.0, 50.0])).min() < 0.1
+
+
+def test_every_character_of_a_candidate_is_read(monkeypatch):
+    """Long candidates with other middles differ, and pieces give what the whole gives."""
+    net, rng = S.generated_model().net, random.Random(3)
+    pick = lambda k: "".join(rng.choices("ABCDEFabcdef0123456789", k=k))
+    head, tail = pick(60), pick(60)
+    a, b = (f"see {head}{mid}{tail} end" for mid in (pick(4000), "-" * 4000))
+    rows = [S.encode(t, 4, len(t) - 4) for t in (a, b)]
+    whole = net.margin(rows)
+    assert abs(whole[0] - whole[1]) > 1e-3
+    monkeypatch.setattr(S, "PIECE", 100)
+    assert np.allclose(net.margin(rows), whole, atol=1e-4)
+
+
+def test_gradients():
+    rng = np.random.default_rng(4)
+    net = S.Net()
+    net.p = [p.astype(np.float64) for p in net.p]
+    rows = [S.encode(t, 3, len(t) - 2) for t in ("ab AKIA77xyzw90 q", "no 123456 zz", "a: -----x..... b")]
+    y = np.asarray([1.0, 0.0, 1.0])
+    loss = lambda: float(np.mean(np.logaddexp(0, np.where(y > 0.5, -1, 1) * net.margin(rows))))
+    first = loss()
+    net.fit(rows, y, epochs=30, rate=0.003)
+    assert loss() < first / 2 and rng is not None
+
+
+def test_training_on_a_table(spark):
+    """The table's numbers are no secrets, planted keys of other forms are; copies and held-out texts are kept apart."""
+    rng = random.Random(8)
+    word = lambda k: " ".join("".join(rng.choices("aeinrst", k=5)) for _ in range(k))
+    dig = lambda k: "".join(rng.choices("0123456789", k=k))
+    low = lambda k: "".join(rng.choices("0123456789abcdef", k=k))
+    key = lambda k: "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", k=k))
+    rows = [f'{word(9)} token = "{low(40)}" {word(9)}' if i % 2 else f"{word(9)} {dig(16)} {word(9)}" for i in range(400)]
+    planted = [f"{word(5)} {form}{k} {word(5)}" for form, k in (("ghp_", key(36)), ("sk-", key(40)), ("Bearer eyJ", key(20) + "." + key(60)), ("https://bob:", key(12) + "@host")) for _ in range(5)]
+    texts = rows + rows[:3] * 200 + planted
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = S.findings(df)
+    assert {r.label for r in found} == {0, 1} and len({(r.text, r.start) for r in found}) == len(found) == 400
+    model = S.train(df)
+    assert model.recall >= S.RECALL
+    got = {r.doc_id: [x.kind for x in r.spans] for r in S.scan(df, model=model).collect()}
+    assert all(got[i] == (["assign", "hex"] if i % 2 else []) for i in range(400))
+    hit = sum("other" in got[i] for i in range(len(texts) - len(planted), len(texts)))
+    assert hit >= 18, hit
 
 
 def test_operator(spark):

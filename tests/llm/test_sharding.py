@@ -1,3 +1,4 @@
+import math
 import zlib
 from collections import Counter
 
@@ -22,8 +23,38 @@ def test_matrix_has_exact_margins_and_the_right_law():
 
 
 def test_any_population():
+    """Beyond the range of numpy's generator: margins exact, mean and variance of the law."""
     m = S.communication_matrix([3 * 10**9, 10**9], S.shard_sizes(4 * 10**9, 7), 1)
     assert m.sum(axis=1).tolist() == [3 * 10**9, 10**9] and m.min() > 0
+    rng = np.random.default_rng(3)
+    for good, bad, draws in ((6 * 10**8, 10**10 - 6 * 10**8, 10**7), (10**12, 15 * 10**12, 2 * 10**9), (10**10, 10, 5 * 10**9), (3, 10**10, 4 * 10**9)):
+        got = np.asarray([S._hypergeometric(rng, good, bad, draws) for _ in range(4000)], float)
+        n = good + bad
+        mean, var = draws * good / n, draws * (good / n) * (bad / n) * ((n - draws) / (n - 1))
+        assert abs(got.mean() - mean) < 5 * (var / 4000) ** 0.5 and abs(got.var() / var - 1) < 0.15
+
+
+def test_the_large_sampler_has_the_law_of_the_exact_one():
+    rng = np.random.default_rng(5)
+    for good, bad, draws in ((30, 50, 20), (2, 9, 5), (500, 20, 100)):
+        got = Counter(S._hypergeometric_large(rng, good, bad, draws) for _ in range(20_000))
+        total = math.comb(good + bad, draws)
+        for k in range(max(0, draws - bad), min(draws, good) + 1):
+            p = math.comb(good, k) * math.comb(bad, draws - k) / total
+            assert abs(got[k] - 20_000 * p) < 5 * (20_000 * p * (1 - p)) ** 0.5 + 1
+
+
+def test_a_long_plan_is_written_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(S, "CHUNK", 3)
+    monkeypatch.setattr(S, "MOST_SOURCES", 4)
+    check(S.shard(spark.range(0, 900, 1, 10), 4).collect(), 900, 4)
+
+
+def test_very_long_texts(spark):
+    df = spark.createDataFrame([(i, "ü" * (1_000_000 if i % 50 == 0 else 3)) for i in range(100)], "doc_id long, text string")
+    got = S.shard(df, 8).collect()
+    check(got, 100, 8)
+    assert sorted(len(r.text) for r in got)[-2:] == [1_000_000] * 2
 
 
 def check(rows, n, shards):

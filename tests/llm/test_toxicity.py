@@ -38,6 +38,27 @@ def test_held_out_accuracy(spark):
     assert hit / sum(b for _, b, _ in held) > 0.9 and hit / sum(a for a, _, _ in held) > 0.88, (hit, len(held), sum(b for _, b, _ in held), sum(a for a, _, _ in held))
 
 
+def test_no_caps_and_unicode_case():
+    f = lambda t, lex: dict(zip(X.FEATURES, X.features(t, lex), strict=True))
+    words = {f"w{chr(97 + i)}{chr(97 + j)}".encode(): 2.0 for i in range(10) for j in range(10)} | {b"x" * 60: 1.0, "élan".encode(): 1.0}
+    got = f(" ".join(w.decode() for w in words) + " ÉLAN ÀÉ", words)
+    assert got["hits"] == 103 and got["distinct"] == 102 and f("ÀÉÎ", {})["capitals"] == 1.0 and f("àéî", {})["capitals"] == 0.0
+    long = "clean words only " * 200_000 + "idiot"
+    assert f(long, {b"idiot": 3.0})["hits"] == 1
+
+
+def test_the_held_part_teaches_no_words(spark):
+    rows = [(i, f"plain text number {i}" if i % 2 else f"you awfulword{'h' if i % 3 else 'k'} {i}") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i, _ in rows], "doc_id long, toxic int")
+    sample = X.training_rows(docs, labels)
+    assert 0 < sample.filter("held").count() < sample.count() / 2
+    seen = {w for r in sample.filter("not held").collect() for w in X.words_of(r.text)}
+    assert set(X.learn_lexicon(sample.filter("not held"))) <= seen
+    twice = X.classify(docs.union(docs.limit(3)), X.train(docs, labels)).filter("doc_id < 3").collect()
+    assert len(twice) == 6 and all(len({r.score for r in twice if r.doc_id == i}) == 1 for i in range(3))
+
+
 def test_odd_inputs(spark):
     docs = spark.createDataFrame([(1, None, 0.5), (2, "", 0.5), (None, "you idiot", 0.5), (2, "x", 0.1)], "doc_id long, text string, score double")
     none = spark.createDataFrame([], "doc_id long, toxic int")
