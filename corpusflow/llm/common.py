@@ -60,15 +60,20 @@ def drop_made(*paths: str) -> None:
                 pass
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back.
+def written(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
+    """Write ``df`` as a table in the shared folder, read it back, and say where it is (for ``drop_made``).
 
     This cuts the lineage: what follows starts from committed files, which outlive any executor.
     """
     spark = df.sparkSession
     path = new_path(spark, tag)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def materialize(df: DataFrame, tag: str) -> DataFrame:
+    """The same for a table that stays until the application ends."""
+    return written(df, tag)[0]
 
 
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> None:

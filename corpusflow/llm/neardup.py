@@ -13,7 +13,11 @@ well enough are verified on the spot, and a task returns a spanning forest of it
 emits its square.  (4) Components by repeated
 minimum labels over the verified links, as tables; nothing is collected.
 
-Defined results: null, empty and word-less texts have an empty set and are linked with nothing; fewer than five words are
+Buckets of ``HOT`` members and more are salted: each join by bucket deals their members out over one task for so many.
+A text of more than ``UNIVERSE`` different shingles fills all slots, so such texts share their buckets; they are still told apart
+on their full sets.
+
+Defined results: very long texts are hashed whole; null, empty and word-less texts have an empty set and are linked with nothing; fewer than five words are
 one shingle; rows that repeat a doc_id are one document in the components (their sets are linked through the id only if
 they are similar); a null doc_id stays alone, with a null component, and is kept; an empty table gives no rows; other
 columns, whatever their names, are ignored.
@@ -38,6 +42,8 @@ UNIVERSE = 1 << 20
 AGREE = 0.69
 #: Members of a bucket that one task compares with as many others.
 BLOCK = 256
+#: Members of a bucket that one task joins; buckets with more that are told to every task, at most (beyond, that join shuffles).
+HOT, MOST_HOT = 256, 200_000
 
 #: Up to so many documents in candidate pairs, their ids are broadcast to the scan of the texts; beyond, that join shuffles.
 MOST_IDS = 2_000_000
@@ -183,10 +189,9 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     Each round sends the smallest label along the links, then follows labels to their own labels; the rounds needed grow
     with the logarithm of the longest path.  Every round is a table, so a lost executor costs no more than its part.
     """
-    spark = links.sparkSession
     links = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct()
-    links = common.materialize(links, "links")
-    labels = common.materialize(links.select(F.col("a").alias("id")).union(links.select(F.col("b").alias("id"))).distinct().withColumn("label", F.col("id")), "labels")
+    links, linked = common.written(links, "links")
+    labels, last = common.written(links.select(F.col("a").alias("id")).union(links.select(F.col("b").alias("id"))).distinct().withColumn("label", F.col("id")), "labels")
     while True:
         # smaller labels cross each link in both directions
         la = links.join(labels.select(F.col("id").alias("a"), F.col("label").alias("la")), "a").join(labels.select(F.col("id").alias("b"), F.col("label").alias("lb")), "b")
@@ -195,31 +200,39 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
         offers = la.filter("la <> lb").select(F.explode(F.array("a", "b", "la", "lb")).alias("id"), low.alias("offer"))
         best = offers.groupBy("id").agg(F.min("offer").alias("offer"))
         moved = labels.join(best, "id", "left").select("id", F.least("label", F.coalesce("offer", "label")).alias("label"), F.col("label").alias("was"))
-        moved = common.materialize(moved, "labels")
+        moved, between = common.written(moved, "labels")
         # follow the label's own label
         up = moved.select(F.col("id").alias("label"), F.col("label").alias("top"))
-        jumped = common.materialize(moved.join(up, "label", "left").select("id", F.least("label", F.coalesce("top", "label")).alias("label"), "was"), "labels")
+        jumped, now = common.written(moved.join(up, "label", "left").select("id", F.least("label", F.coalesce("top", "label")).alias("label"), "was"), "labels")
+        common.drop_made(between, last)  # the next round starts from this one's table
+        last = now
         if not jumped.filter("label <> was").limit(1).count():
             break
         labels = jumped.select("id", "label")
+    common.drop_made(linked)
     return nodes.select("id").join(jumped.select("id", "label"), "id", "left").select("id", F.coalesce("label", "id").alias("label"))
 
 
+def salted(rows: DataFrame) -> DataFrame:
+    """A row of a bucket (with ``parts``) once for each salt of the bucket."""
+    return rows.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+
+
 def across(members: DataFrame, percent: int) -> DataFrame:
     """Verified links (a, b) between components of one bucket; pairs whose signatures disagree aren't compared further.
 
     A task gives a link only where it ties what its own links don't tie yet, so it returns fewer links than it has members.
-    members: bucket, id, label, sig, s.  A bucket's largest component needs no comparison with itself: its members go to
+    members: bucket, salt, parts, id, label, sig, s.  A bucket's largest component needs no comparison with itself: its members go to
     blocks of their own, the others to blocks before those, about BLOCK members each by a hash of the id.  A task compares
     one block of the others with one block of either kind.
     """
-    by = members.groupBy("bucket", "label").count()
-    stats = by.groupBy("bucket").agg(F.max_by("label", F.struct("count", "label")).alias("main"), F.max("count").alias("most"), F.sum("count").alias("size"))
+    by = members.groupBy("bucket", "parts", "label").count()
+    stats = by.groupBy("bucket", "parts").agg(F.max_by("label", F.struct("count", "label")).alias("main"), F.max("count").alias("most"), F.sum("count").alias("size"))
     cut = lambda n: F.ceil(n / BLOCK).cast("int")
-    stats = common.materialize(stats.select("bucket", "main", cut(F.col("size") - F.col("most")).alias("p"), cut(F.col("most")).alias("q")), "buckets")
+    stats = common.materialize(stats.select("bucket", "parts", "main", cut(F.col("size") - F.col("most")).alias("p"), cut(F.col("most")).alias("q")), "buckets")
     h = F.xxhash64("id")
     block = F.when(F.col("label") == F.col("main"), F.col("p") + F.pmod(h, "q")).otherwise(F.pmod(h, "p")).cast("int")
-    placed = members.join(stats, "bucket").withColumn("block", block)
+    placed = members.drop("parts").join(salted(stats), ["bucket", "salt"]).withColumn("block", block)
     # each row goes to the tasks of its block: (i, j) with i among the others' blocks and j not before i
     i_of = F.when(F.col("block") < F.col("p"), F.concat(F.transform(F.sequence("block", F.col("p") + F.col("q") - 1), lambda j: F.struct(F.col("block").alias("i"), j.alias("j"))), F.transform(F.sequence(F.lit(0), "block"), lambda i: F.struct(i.alias("i"), F.col("block").alias("j")))))
     i_of = i_of.otherwise(F.transform(F.sequence(F.lit(0), F.col("p") - 1), lambda i: F.struct(i.alias("i"), F.col("block").alias("j"))))
@@ -268,19 +281,22 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     same = groups.select("digest", F.col("id").alias("rep"))
     table = bands(reps)
     sizes = table.groupBy("bucket").agg(F.count("*").alias("size"), F.min("id").alias("low")).filter("size > 1")
-    shared = common.materialize(table.join(sizes, "bucket"), "buckets")
+    sizes = common.materialize(sizes.withColumn("parts", F.ceil(F.col("size") / HOT).cast("int")), "sizes")
+    hot = common.broadcast_if_small(sizes.filter("parts > 1").select("bucket", F.col("parts").alias("over")), MOST_HOT)
+    table = table.join(hot, "bucket", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("id"), "over"), F.lit(0)).cast("int")).drop("over")
+    shared = common.materialize(table.join(salted(sizes), ["bucket", "salt"]), "buckets")
     # the member that stands in most shared buckets is the likely original of near copies
     weight = shared.groupBy("id").agg(F.sum("size").alias("weight"))
-    heavy = shared.join(weight, "id").groupBy("bucket").agg(F.max_by("id", F.struct("weight", -F.col("id"))).alias("hub"))
-    hubs = shared.join(heavy, "bucket").select("id", F.explode(F.array_distinct(F.array("low", "hub"))).alias("hub")).filter("id <> hub")
+    heavy = shared.join(weight, "id").groupBy("bucket", "parts").agg(F.max_by("id", F.struct("weight", -F.col("id"))).alias("hub"))
+    hubs = shared.drop("parts").join(salted(heavy), ["bucket", "salt"]).select("id", F.explode(F.array_distinct(F.array("low", "hub"))).alias("hub")).filter("id <> hub")
     pairs = common.materialize(hubs.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct(), "pairs")
     texts = docs.filter("doc_id is not null")
     first = common.materialize(verified(pairs, texts, percent), "first")
     label = common.materialize(components(reps, first), "components")
     # buckets with members of several components: the other pairs there
     mixed = shared.join(label, "id")
-    open_ = mixed.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("bucket")
-    rest = common.materialize(mixed.filter("size > 2").join(open_, "bucket", "left_semi").select("bucket", "id", "label"), "rest")
+    open_ = mixed.groupBy("bucket", "parts").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("bucket", "parts")
+    rest = common.materialize(mixed.filter("size > 2").join(salted(open_).drop("parts"), ["bucket", "salt"], "left_semi").select("bucket", "salt", "parts", "id", "label"), "rest")
     if rest.limit(1).count():
         whole = rest.join(reps, "id").join(set_table(rest.select("id"), texts), "id")
         second = common.materialize(across(whole, percent), "second")

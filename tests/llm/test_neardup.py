@@ -68,6 +68,7 @@ def family(rng, base, n, edits):
 
 def test_against_brute_force(spark, monkeypatch):
     monkeypatch.setattr(N, "BLOCK", 8)
+    monkeypatch.setattr(N, "HOT", 5)
     rng = random.Random(5)
     text = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
     texts = []
@@ -84,6 +85,14 @@ def test_against_brute_force(spark, monkeypatch):
     assert run(spark, rows) == brute(rows)
 
 
+def test_very_long_texts(spark):
+    rng = random.Random(6)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(60_000)]
+    near = [x if i % 200 else f"e{i}" for i, x in enumerate(base)]
+    rows = [(7, " ".join(base)), (3, " ".join(near)), (5, " ".join(base[::-1])), (9, " ".join(base[:40_000]))]
+    assert run(spark, rows) == brute(rows) and len({r[2] for r in brute(rows)}) == 3
+
+
 def test_repeated_ids_and_empty_table(spark):
     rows = [(1, "a b c d e f"), (1, "q r s t u v"), (2, "q r s t u v"), (3, "a b c d e f"), (4, "z")]
     assert run(spark, rows) == brute(rows)
