@@ -69,3 +69,11 @@ QUERY_PROMPT = "Represent this sentence for searching relevant passages: "
 
 #: Left out of keywords, whatever the language: every list above together.
 KEYWORD_STOPWORDS: list[str] = list(dict.fromkeys([w for words in STOPWORDS.values() for w in words] + KEYWORD_ONLY))
+
+# Words that are no entities, and the parts of an identifier.
+ENTITY_STOP_WORDS = (
+    "def", "class", "return", "import", "from", "self", "none", "true", "false",
+    "and", "or", "not", "for", "while", "with", "as", "if", "elif", "else",
+    "try", "except", "finally", "pass", "lambda", "yield", "raise", "in", "is",
+)
+ENTITY_PARTS = r"[A-Z]?[a-z]+|[A-Z]+(?=[A-Z][a-z]|\d|\b)|[0-9]+"

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.lexicon import ENTITY_PARTS, ENTITY_STOP_WORDS
 from .tables import table
 
 
@@ -38,12 +41,12 @@ def expand_candidates(seeds: DataFrame, chunks: DataFrame, edges: DataFrame, rad
     return first.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= most).select("qid", "id", "place")
 
 
-def query_hops(seeds: DataFrame, candidates: DataFrame, edges: DataFrame, deepest: int = 8) -> DataFrame:
-    """qid, id, hop: breadth first from the seeds within each query's candidates."""
+def query_hops(seeds: DataFrame, candidates: DataFrame, edges: DataFrame, deepest: int | None = None) -> DataFrame:
+    """qid, id, hop: breadth first from the seeds within each query's candidates, until nothing new is reached (or ``deepest``)."""
     links = neighbours(edges).select(F.col("src").alias("id"), "dst").distinct()
     found = seeds.select("qid", "id").distinct().join(candidates.select("qid", "id").distinct(), ["qid", "id"], "left_semi").withColumn("hop", F.lit(0))
     front = found
-    for d in range(1, deepest + 1):
+    for d in count(1) if deepest is None else range(1, deepest + 1):
         step = front.join(links, "id").select("qid", F.col("dst").alias("id")).distinct().join(candidates, ["qid", "id"], "left_semi").join(found, ["qid", "id"], "left_anti")
         front = table(step.select("qid", "id", F.lit(d).alias("hop")))
         if not front.limit(1).count():
@@ -113,23 +116,33 @@ def local_search(hits: DataFrame, chunks: DataFrame, edges: DataFrame, k: int =
 
 
 def entities(docs: DataFrame) -> DataFrame:
-    """id, entity: identifiers in a text, and the parts of those in camel or snake case, in lower case."""
-    found = docs.select("id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Za-z_][A-Za-z0-9_]{2,}"), F.lit(0)))).alias("e"))
-    inner = F.split(F.regexp_replace("e", "([a-z0-9])([A-Z])", "$1_$2"), "_+")
-    parts = F.filter(F.concat(F.array("e"), inner), lambda p: F.length(p) > 2)
-    compound = F.col("e").rlike("[a-z0-9][A-Z]|_")
-    return found.select("id", F.explode(F.when(compound, parts).otherwise(F.array("e"))).alias("e")).select("id", F.lower("e").alias("entity")).distinct()
-
-
-def entity_search(index: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    """qid, id, score, rank: documents by the idf of shared entities, plus a little through entities of those documents."""
-    n = index.select("id").distinct().count()
-    df = index.groupBy("entity").agg(F.countDistinct("id").alias("df")).withColumn("idf", F.log((n + 1.0) / (F.col("df") + 0.5)))
-    q = queries.join(df, "entity").select("qid", "entity", "idf")
-    direct = q.join(index, "entity").groupBy("qid", "id").agg(F.sum("idf").alias("score"))
-    rare = df.filter("idf > 0.5")
-    heads = direct.withColumn("r", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "id"))).filter("r <= 10").select("qid", "id")
-    through = heads.join(index, "id").join(rare, "entity").select("qid", "entity", "idf", "df").distinct().join(index, "entity").groupBy("qid", "id").agg(F.sum(0.05 * F.col("idf") / (1 + F.col("df"))).alias("more"))
-    out = direct.join(through, ["qid", "id"], "full_outer").select("qid", "id", F.round(F.coalesce("score", F.lit(0.0)) + F.coalesce("more", F.lit(0.0)), 6).alias("score"))
+    """id, entity: identifiers of a text and their parts (by letter case, digits and underscores), in lower case, without stop words."""
+    words = F.filter(F.array_distinct(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))), lambda w: w.rlike("^[A-Za-z_][A-Za-z0-9_]{2,}$"))
+    parts = F.filter(F.regexp_extract_all("e", F.lit(ENTITY_PARTS), F.lit(0)), lambda p: F.length(p) > 2)
+    token = docs.select("id", F.explode(words).alias("e")).filter(~F.lower("e").isin(*ENTITY_STOP_WORDS))
+    every = token.select("id", F.explode(F.concat(F.array("e"), parts)).alias("e")).select("id", F.lower("e").alias("entity"))
+    return every.filter(~F.col("entity").isin(*ENTITY_STOP_WORDS)).distinct()
+
+
+def entity_search(index: DataFrame, queries: DataFrame, k: int = 10, documents: int | None = None) -> DataFrame:
+    """qid, id, score, rank: documents by the idf of shared entities, plus what reaches them through entities of other such documents.
+
+    Every document that shares an entity with the query passes its score on, damped by how common the entity is, to the other
+    documents that have it.  An entity's whole mass is summed once and each document's own part taken off again, so no pairs
+    of documents are made.  ``documents``: how many there are, with those that have no entity (default: those that have one).
+    """
+    n = documents or index.select("id").distinct().count()
+    df = index.groupBy("entity").agg(F.countDistinct("id").alias("df")).withColumn("idf", F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0))
+    direct = table(queries.join(df, "entity").join(index, "entity").groupBy("qid", "id").agg(F.sum("idf").alias("score")))
+    rare = df.filter("idf > 0.5").select("entity", (0.05 * F.col("idf") / (1.0 + F.col("df"))).alias("damped"))
+    links = index.join(rare, "entity")
+    held = direct.join(links, "id")
+    mass = held.groupBy("qid", "entity").agg(F.sum(F.col("score") * F.col("damped")).alias("mass"))
+    through = mass.join(index, "entity").groupBy("qid", "id").agg(F.sum("mass").alias("more"))
+    own = held.groupBy("qid", "id").agg(F.sum(F.col("score") * F.col("damped")).alias("own"))
+    out = direct.join(through, ["qid", "id"], "full_outer").join(own, ["qid", "id"], "left")
+    zero = F.lit(0.0)
+    # what reaches a document is what all direct ones sent into its entities but for its own part; one that only sent to itself stays as it is
+    out = out.select("qid", "id", F.round(F.coalesce("score", zero) + F.coalesce("more", zero) - F.coalesce("own", zero), 6).alias("score")).filter("score > 0")
     w = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
     return out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)

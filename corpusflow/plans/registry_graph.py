@@ -164,7 +164,7 @@ def walk_local(spark, d):
 def walk_entities(spark, d):
     index = cut(walk.entities(docs(spark, d)))
     q = walk.entities(batch(spark, d).withColumnRenamed("qid", "id")).withColumnRenamed("id", "qid")
-    return walk.entity_search(index, q).select("qid", F.col("id").alias("doc_id"), F.round("score", 4).alias("score"), *long("rank"))
+    return walk.entity_search(index, q, documents=docs(spark, d).count()).select("qid", F.col("id").alias("doc_id"), F.round("score", 4).alias("score"), *long("rank"))
 
 
 # fusion: two vector arms, half of the dimensions and all of them; every hundredth vector is a query
@@ -406,6 +406,16 @@ def _alt(words: list[str]) -> str:
     return "|".join(re.escape(w).replace("'", "''") for w in words)
 
 
+def _entities(name: str, source: str, key: str) -> str:
+    """CTE <name> (key, e): identifiers and their parts; separators stand for the look-ahead that this dialect lacks."""
+    stop = O.words(list(L.ENTITY_STOP_WORDS))
+    cut = "regexp_replace(regexp_replace(w, '[A-Z]+_', '_', 'g'), '([A-Z])([A-Z][a-z])', '\\1 \\2', 'g')"
+    return (
+        f"{name}_w AS (SELECT DISTINCT {key}, w FROM (SELECT {key}, unnest(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+')) AS w FROM {source}) WHERE regexp_full_match(w, '[A-Za-z_][A-Za-z0-9_]{{2,}}') AND NOT list_contains({stop}, lower(w))), "
+        f"{name} AS MATERIALIZED (SELECT DISTINCT {key}, e FROM (SELECT {key}, lower(w) AS e FROM {name}_w UNION ALL SELECT {key}, lower(p) FROM (SELECT {key}, unnest(regexp_extract_all({cut}, '[A-Z]?[a-z]+|[A-Z]+|[0-9]+')) AS p FROM {name}_w) WHERE length(p) > 2) WHERE NOT list_contains({stop}, e))"
+    )
+
+
 _W = "[^\\p{L}\\p{N}_]"
 _LATIN, _OTHER = [w for w in L.OVERVIEW_WORDS if not briefing._is_cjk(w)], [w for w in L.OVERVIEW_WORDS if briefing._is_cjk(w)]
 _BOUND = lambda ws: f"(^|{_W})({_alt(ws)})($|{_W})"
@@ -496,8 +506,15 @@ ev AS (SELECT qid, id, 1 AS stage, seed, 1 AS far FROM w1 UNION ALL SELECT qid,
 k AS (SELECT qid, id, min({{'a': stage, 'b': seed, 'c': far}}) AS k FROM ev WHERE (qid, id) NOT IN (SELECT (qid, id) FROM sd) GROUP BY ALL),
 r AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY k, id) AS place FROM k) SELECT * FROM r WHERE place <= 100""",
     "walk_hops": f"""WITH RECURSIVE {_HITS}, core AS (SELECT DISTINCT bm.qid, y.id FROM bm JOIN s x ON x.id = bm.id JOIN s y ON y.basin_id = x.basin_id WHERE rank <= 3 UNION SELECT qid, id FROM bm WHERE rank <= 10),
-al AS (SELECT * FROM core UNION SELECT qid, dst FROM core JOIN both_ways ON src = id), h AS (SELECT qid, id, 0 AS hop FROM bm WHERE rank <= 3 UNION SELECT h.qid, dst, hop + 1 FROM h JOIN both_ways ON src = h.id JOIN al ON al.qid = h.qid AND al.id = dst WHERE hop < 8)
+al AS (SELECT * FROM core UNION SELECT qid, dst FROM core JOIN both_ways ON src = id), h AS (SELECT qid, id, 0 AS hop FROM bm WHERE rank <= 3 UNION SELECT h.qid, dst, hop + 1 FROM h JOIN both_ways ON src = h.id JOIN al ON al.qid = h.qid AND al.id = dst WHERE hop < 64)
 SELECT qid, id, min(hop)::BIGINT AS hop FROM h GROUP BY ALL""",
+    "walk_entities": f"""WITH {_entities("de", "(SELECT doc_id AS id, text FROM documents)", "id")}, {_entities("qe", "(SELECT item_id AS qid, text FROM benchmark)", "qid")},
+n AS (SELECT count(*) AS n FROM documents), st AS MATERIALIZED (SELECT e, count(*) AS df, ln((max(n) - count(*) + 0.5) / (count(*) + 0.5) + 1.0) AS idf FROM de, n GROUP BY e),
+dir AS MATERIALIZED (SELECT qid, id, sum(idf) AS s FROM qe JOIN st USING (e) JOIN de USING (e) GROUP BY ALL), ra AS MATERIALIZED (SELECT id, e, 0.05 * idf / (1 + df) AS damped FROM de JOIN st USING (e) WHERE idf > 0.5),
+ms AS (SELECT qid, e, sum(s * damped) AS m FROM dir JOIN ra USING (id) GROUP BY ALL), th AS (SELECT qid, id, sum(m) AS more FROM ms JOIN ra USING (e) GROUP BY ALL), ow AS (SELECT qid, id, s * sum(damped) AS own FROM dir JOIN ra USING (id) GROUP BY qid, id, s),
+f AS (SELECT coalesce(dir.qid, th.qid) AS qid, coalesce(dir.id, th.id) AS id, coalesce(s, 0) + coalesce(more, 0) AS total FROM dir FULL JOIN th ON dir.qid = th.qid AND dir.id = th.id),
+g AS (SELECT f.qid, f.id, round(total - coalesce(own, 0), 6) AS score FROM f LEFT JOIN ow ON ow.qid = f.qid AND ow.id = f.id)
+SELECT qid, id AS doc_id, round(score, 4) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM g WHERE score > 0) WHERE rank <= 10""",
     "sync_states": """WITH o AS (SELECT doc_id::VARCHAR AS source, md5(text) AS h FROM documents WHERE lang <> 'fr'), n AS (SELECT doc_id::VARCHAR AS source, CASE WHEN n_chars % 5 = 0 THEN sha256(text) ELSE md5(text) END AS h, n_chars % 7 <> 0 AS ok FROM documents WHERE lang <> 'de'),
 j AS (SELECT source, o.h AS was, n.h AS now, CASE WHEN n.h IS NULL THEN 'deleted' WHEN o.h IS NOT DISTINCT FROM n.h THEN 'same' WHEN NOT ok THEN 'failed' WHEN o.h IS NULL THEN 'new' ELSE 'changed' END AS state FROM o FULL JOIN n USING (source))
 SELECT source, state, CASE WHEN state = 'failed' THEN was WHEN state <> 'deleted' THEN now END AS sha256 FROM j""",

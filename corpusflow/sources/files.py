@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 # What is read and what is passed over.
 TEXT_ENDINGS = ("txt", "md", "markdown")
-SKIPPED_FOLDERS = (".git", ".basinrag", "__pycache__", "node_modules", ".venv", "venv")
+SKIPPED_FOLDERS = (".git", "__pycache__", "node_modules", ".venv", "venv")
 MERGE_PAGES_FROM = 4000
 
 SCHEMA = "source string, page int, text string, sha256 string, status string, reason string"

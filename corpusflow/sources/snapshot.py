@@ -39,18 +39,28 @@ class Store:
         out = self._fs.create(tmp, True)
         out.write(json.dumps(value, sort_keys=True).encode())
         out.close()
-        target = self._path(f"{self.root}/{name}")
-        self._fs.delete(target, False)
-        if not self._fs.rename(tmp, target):
-            raise Conflict(f"{name} could not be replaced")
+        # one step that replaces: a reader sees the old file or the new one, also if this process ends here
+        jvm = self.spark.sparkContext._jvm
+        files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(tmp.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+        how = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        how[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        files.rename(self._path(self._fs.makeQualified(tmp).toString()), self._path(self._fs.makeQualified(self._path(f"{self.root}/{name}")).toString()), how)
 
     def current(self) -> dict | None:
         return self._read("current.json")
 
-    def lock(self, wait: float = 90.0) -> str:
-        """A lock that exactly one writer holds: creating its file without overwriting succeeds once."""
+    def lock(self, wait: float = 90.0, stale: float = 6 * 3600.0) -> str:
+        """A lock that exactly one writer holds: creating its file without overwriting succeeds once.
+
+        A lock older than ``stale`` seconds was left by a writer that ended; it is moved away, which also succeeds once.
+        """
         p, until = self._path(f"{self.root}/.lock"), time.time() + wait
         while not self._fs.createNewFile(p):
+            if self._fs.exists(p) and time.time() - self._fs.getFileStatus(p).getModificationTime() / 1000 > stale:
+                gone = self._path(f"{self.root}/.lock.{uuid.uuid4().hex}")
+                if self._fs.rename(p, gone):
+                    self._fs.delete(gone, False)
+                continue
             if time.time() > until:
                 raise Conflict("another writer holds the lock")
             time.sleep(0.2)
@@ -217,14 +227,21 @@ def retry_delay(attempt: int, longest: float = 60.0) -> float:
     return min(longest, 2.0**attempt)
 
 
-def digest_of(rows: DataFrame, columns: list[str]) -> DataFrame:
+def digest_of(rows: DataFrame, columns: list[str], place: int = 1000) -> DataFrame:
     """One row: rows and a hash of all of them that doesn't depend on their order.
 
-    Each part's sorted hashes are hashed and the parts' hashes again, so nothing is gathered whole.
+    A row's place is a prefix of its hash.  Sorted hashes of a place are hashed, and the places' hashes again under shorter
+    prefixes; a large table (its number of rows decides) begins with longer ones, so a place holds about ``place`` hashes.
     """
     line = F.sha2(F.concat_ws("\u001f", *[F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in columns]), 256)
-    part = rows.select(line.alias("h")).groupBy(F.substring("h", 1, 3).alias("p"), "h").count()
+    n, chars = rows.count(), 3
+    while 16**chars * place < n:
+        chars += 2
+    part = rows.select(line.alias("h")).groupBy(F.substring("h", 1, chars).alias("p"), "h").count()
     level = part.groupBy("p").agg(F.sum("count").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "h", F.col("count").cast("string")))), ","), 256).alias("h"))
+    while chars > 3:
+        chars -= 2
+        level = level.groupBy(F.substring("p", 1, chars).alias("p")).agg(F.sum("n").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ","), 256).alias("h"))
     return level.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ","), 256).alias("digest"))
 
 

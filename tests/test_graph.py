@@ -1,8 +1,11 @@
 import math
+import re
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
 
+from corpusflow.functions.lexicon import ENTITY_PARTS, ENTITY_STOP_WORDS
 from corpusflow.operators import dense, topology, walk
 
 
@@ -117,9 +120,52 @@ def test_pagerank(spark):
     assert all(math.isclose(got[n], want[n], abs_tol=2e-4) for n in nodes), (got, want)
 
 
+def entities_of(text):
+    out = set()
+    for tok in re.findall(r"\b[A-Za-z_][A-Za-z0-9_]{2,}\b", text):
+        if tok.lower() not in ENTITY_STOP_WORDS:
+            out |= {x.lower() for x in [tok, *(p for p in re.findall(ENTITY_PARTS, tok) if len(p) > 2)] if x.lower() not in ENTITY_STOP_WORDS}
+    return out
+
+
+def entity_walk(docs, query, k=10):
+    has = {d: entities_of(t) for d, t in docs}
+    df = Counter(e for s in has.values() for e in s)
+    idf = {e: math.log((len(docs) - c + 0.5) / (c + 0.5) + 1) for e, c in df.items()}
+    direct = {d: v for d, s in has.items() if (v := sum(idf[e] for e in s & query)) > 0}
+    score = dict(direct)
+    for d, v in direct.items():
+        for e in has[d]:
+            if idf[e] > 0.5:
+                for other, s in has.items():
+                    if other != d and e in s:
+                        score[other] = score.get(other, 0) + v * 0.05 * idf[e] / (1 + df[e])
+    return sorted(((d, round(v, 6)) for d, v in score.items()), key=lambda x: (-x[1], x[0]))[:k]
+
+
 def test_entities(spark):
-    docs = spark.createDataFrame([(1, "use HttpServer here"), (2, "http_client and server"), (3, "nothing")], "id long, text string")
-    index = walk.entities(docs)
-    assert {r.entity for r in index.filter("id = 1").collect()} >= {"httpserver", "http", "server"}
-    q = spark.createDataFrame([(7, "httpserver")], "qid long, entity string")
-    assert walk.entity_search(index, q).first().id == 1
+    texts = ["use HttpServer here", "http_client and server", "nothing", "XMLHttpRequest2 for HTTP_PORT", "from self import HttpServer", "élan_vital abc ab server", "ABC_def 12ab port_80 request", "client code of the port", ""] + [f"word{i % 3} item{i} server" for i in range(20)]
+    docs = list(enumerate(texts))
+    index = walk.entities(spark.createDataFrame(docs, "id long, text string"))
+    got = {}
+    for r in index.collect():
+        got.setdefault(r.id, set()).add(r.entity)
+    assert got == {d: e for d, t in docs if (e := entities_of(t))}
+    asked = {7: {"httpserver", "http"}, 8: {"client", "item3"}, 9: {"unknown"}}
+    q = spark.createDataFrame([(k, e) for k, v in asked.items() for e in v], "qid long, entity string")
+    found = {}
+    for r in walk.entity_search(index, q, documents=len(docs)).collect():
+        found.setdefault(r.qid, []).append((r.rank, r.id, r.score))
+    for k, v in asked.items():
+        want = entity_walk(docs, v)
+        mine = [(d, s) for _, d, s in sorted(found.get(k, []))]
+        assert len(mine) == len(want) and all(a == b and math.isclose(x, y, abs_tol=2e-6) for (a, x), (b, y) in zip(mine, want, strict=True)), (mine, want)
+
+
+def test_hops_go_to_the_end(spark):
+    n = 13
+    edges = spark.createDataFrame([(i, i + 1, 1.0, "sequential") for i in range(n - 1)], "src long, dst long, weight double, type string")
+    every = spark.createDataFrame([(1, i) for i in range(n)], "qid long, id long")
+    got = {r.id: r.hop for r in walk.query_hops(every.filter("id = 0"), every, edges).collect()}
+    assert got == {i: i for i in range(n)}
+    assert max(r.hop for r in walk.query_hops(every.filter("id = 0"), every, edges, deepest=3).collect()) == 3

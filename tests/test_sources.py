@@ -147,3 +147,31 @@ def test_small_things(spark):
     assert snapshot.retry_delay(1) == 2.0 and snapshot.retry_delay(10) == 60.0
     corpus, asked = datasets.mini_corpus(spark)
     assert corpus.count() == 8 and asked.count() == 5
+
+
+def test_pointer_and_lock(spark, tmp_path):
+    """The pointer is replaced in one step; a lock that a dead writer left goes after its time, a fresh one stays."""
+    import os
+    import time
+
+    import pytest
+
+    store = snapshot.Store(spark, str(tmp_path / "ix"))
+    for n in range(3):
+        store._write("current.json", {"build": str(n)})
+        assert store.current() == {"build": str(n)}
+    assert [f for f in os.listdir(tmp_path / "ix") if f.startswith(".current.json.") and not f.endswith(".crc")] == []
+    held = store.lock()
+    with pytest.raises(snapshot.Conflict):
+        store.lock(wait=0.5)
+    os.utime(held, (time.time() - 9000,) * 2)
+    assert store.lock(wait=0.5, stale=3600) == held
+
+
+def test_digest_of_many_rows(spark):
+    """Longer prefixes for more rows: any order and split gives the same, one changed row another."""
+    of = lambda df: snapshot.digest_of(df, ["id", "x"], place=1).first()
+    a = of(spark.range(20_000).withColumn("x", F.col("id") % 7))
+    b = of(spark.range(19_999, -1, -1, 3).withColumn("x", F.col("id") % 7))
+    c = of(spark.range(20_000).withColumn("x", F.when(F.col("id") == 77, 9).otherwise(F.col("id") % 7)))
+    assert a == b and a.digest != c.digest and a.rows == 20_000
