@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -26,17 +28,30 @@ class LexicalIndex:
     n: int
     avgdl: float
     lang: str
+    stem: Callable[[list[str]], list[str]] | None = None
 
 
-def term_lists(docs: DataFrame, id_: str = "id", text: str = "text") -> DataFrame:
-    """id, lang, terms: tokens without the function words of each text's own language."""
+def term_lists(docs: DataFrame, id_: str = "id", text: str = "text", stem: Callable[[list[str]], list[str]] | None = None) -> DataFrame:
+    """id, lang, terms: tokens without the function words of each text's own language; ``stem`` turns a text's terms into others."""
     toks = docs.select(F.col(id_).alias("id"), F.col(text).alias("text"), X.tokens(F.col(text)).alias("toks"))
     known = toks.select("id", "toks", X.language(F.col("text"), F.col("toks")).alias("lang"))
-    return known.select("id", "lang", X.without_stopwords(F.col("toks"), F.col("lang")).alias("terms"))
+    out = known.select("id", "lang", X.without_stopwords(F.col("toks"), F.col("lang")).alias("terms"))
+    return _stemmed(out, stem)
 
 
-def build_index(docs: DataFrame, id_: str = "id", text: str = "text") -> LexicalIndex:
-    lists = term_lists(docs, id_, text).withColumn("dl", F.greatest(F.lit(1), F.size("terms")))
+def _stemmed(lists: DataFrame, stem: Callable[[list[str]], list[str]] | None) -> DataFrame:
+    if stem is None:
+        return lists
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b.assign(terms=[stem(list(t)) for t in b["terms"]])
+
+    return lists.mapInPandas(run, lists.schema)
+
+
+def build_index(docs: DataFrame, id_: str = "id", text: str = "text", stem: Callable[[list[str]], list[str]] | None = None) -> LexicalIndex:
+    lists = term_lists(docs, id_, text, stem).withColumn("dl", F.greatest(F.lit(1), F.size("terms")))
     lists = table(lists)
     stats = lists.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).first()
     # the most common language; the first in the alphabet wins a tie
@@ -46,17 +61,17 @@ def build_index(docs: DataFrame, id_: str = "id", text: str = "text") -> Lexical
     n = stats["n"]
     terms = postings.groupBy("term").agg(F.count("*").alias("df"))
     terms = terms.withColumn("idf", F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0))
-    return LexicalIndex(postings, table(terms), n, stats["avgdl"] or 0.0, langs[0]["lang"] if langs else "pt")
+    return LexicalIndex(postings, table(terms), n, stats["avgdl"] or 0.0, langs[0]["lang"] if langs else "pt", stem)
 
 
-def query_terms(queries: DataFrame) -> DataFrame:
+def query_terms(queries: DataFrame, stem: Callable[[list[str]], list[str]] | None = None) -> DataFrame:
     """qid, term, times: a repeated query term counts as often as it stands there."""
-    return term_lists(queries, "qid").select(F.col("id").alias("qid"), F.explode("terms").alias("term")).groupBy("qid", "term").agg(F.count("*").alias("times"))
+    return term_lists(queries, "qid", stem=stem).select(F.col("id").alias("qid"), F.explode("terms").alias("term")).groupBy("qid", "term").agg(F.count("*").alias("times"))
 
 
 def bm25(index: LexicalIndex, queries: DataFrame, k: int = 50) -> DataFrame:
     """qid, id, score, rank (from 1) of the best k, ties by id.  Only postings of query terms are scored."""
-    wanted = table(query_terms(queries).join(index.terms, "term").select("qid", "term", "times", "idf"))
+    wanted = table(query_terms(queries, index.stem).join(index.terms, "term").select("qid", "term", "times", "idf"))
     hits = index.postings.join(small(wanted, MOST_QUERY_TERMS), "term")
     norm = F.col("tf") + K1 * (1.0 - B + B * F.col("dl") / (index.avgdl or 1.0))
     part = F.col("times") * F.col("idf") * (F.col("tf") * (K1 + 1.0) / norm)
@@ -73,8 +88,9 @@ def expansion_terms(index: LexicalIndex, queries: DataFrame, hits: DataFrame, do
     """qid, term, place: terms of the best hits' texts that the query lacks, by tf x idf then term, both descending."""
     lang = queries.select("qid", F.coalesce(X.language(F.col("text"), X.tokens(F.col("text"))), F.lit(index.lang)).alias("lang"))
     texts = hits.filter(F.col("rank") <= n_feedback).select("qid", "id").join(docs.select("id", "text"), "id").join(lang, "qid")
-    toks = texts.select("qid", F.explode(X.without_stopwords(X.tokens(F.col("text")), F.col("lang"))).alias("term")).filter(F.length("term") >= 3)
-    mine = queries.join(lang, "qid").select("qid", F.explode(X.without_stopwords(X.tokens(F.col("text")), F.col("lang"))).alias("term")).distinct()
+    own = lambda df: _stemmed(df.select("qid", X.without_stopwords(X.tokens(F.col("text")), F.col("lang")).alias("terms")), index.stem).select("qid", F.explode("terms").alias("term"))
+    toks = own(texts).filter(F.length("term") >= 3)
+    mine = own(queries.join(lang, "qid")).distinct()
     rated = toks.groupBy("qid", "term").agg(F.count("*").alias("tf")).join(mine, ["qid", "term"], "left_anti").join(index.terms, "term")
     rated = rated.withColumn("w", F.round(F.col("tf") * F.col("idf"), DIGITS))
     w = Window.partitionBy("qid").orderBy(F.desc("w"), F.desc("term"))
