@@ -4,11 +4,12 @@ Features: densities of a lexicon learned from the labels, how near its words sta
 punctuation, and obfuscation (signs or digits inside words, and lexicon words that appear once those are undone).
 
 Learning uses only labelled rows whose crc32(doc_id as text) mod 5 is not 0, at most ``SAMPLE`` of them (in the order of a
-hash of the id; every label where there are fewer).  A fifth of them, dealt by a hash of the text so that copies stay
-together, is for calibration alone: neither lexicon nor trees see it.  Word counts of the rest are summed on the executors,
-the lexicon has at most ``LEXICON`` words, and the driver gets that lexicon and the sample's dense features: sizes that the
-input doesn't move.  Labels, language, source and ids never enter a score.  Scoring reads every whole text; letter case is
-that of Unicode.
+hash of the id; every label where there are fewer).  Calibration is cross-fitted: the sample is dealt into ``FOLDS`` parts by a
+hash of the text, so copies stay together; each part gets margins from a lexicon and trees that haven't seen it, and the
+isotonic levels are those of all these margins.  The lexicon and the trees that score learn from the whole sample.  Word
+counts are summed on the executors, a lexicon has at most ``LEXICON`` words, and the driver gets the lexicons and the sample's
+dense features: sizes that the input doesn't move.  Labels, language, source and ids never enter a score.  Scoring reads
+every whole text; letter case is that of Unicode.
 
 Defined results: null, empty and word-less texts are scored like any (all features 0), very long ones as a whole; rows without a label, or with a null
 label or doc_id, teach nothing; with no usable labels, or labels of one kind, every score is that share of ones (0 without
@@ -30,8 +31,8 @@ from pyspark.sql import types as T
 
 from . import common, gbt
 
-#: Labelled rows that are learned from, at most; words in the lexicon, at most.
-SAMPLE, LEXICON = 12_000, 256
+#: Labelled rows that are learned from, at most; words in the lexicon, at most; parts for calibration.
+SAMPLE, LEXICON, FOLDS = 12_000, 256, 5
 #: Words this near to a second-person word are counted as addressed to somebody.
 NEAR = 6
 YOU = frozenset(x.encode() for x in "you your yours yourself u ur tu toi te ton ta tes vous votre vos du dich dir dein deine ihr euch euer sie usted ustedes tú ti tuyo vosotros vuestro".split())
@@ -90,44 +91,54 @@ def features(text: str | None, lexicon: dict[bytes, float]) -> list[float]:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> DataFrame:
-    """(text, label, held): a bounded sample of the labelled rows that may teach, as a table; held ones are for calibration."""
+    """(text, label, fold): a bounded sample of the labelled rows that may teach, as a table."""
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
     usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("double").alias("label")).filter((fold != 0) & F.col("label").isNotNull())
     chosen = usable.orderBy(F.xxhash64(F.lit(4), "doc_id"), "doc_id", "label").limit(most)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     # at most ``most`` ids: the bound is the parameter
-    return common.materialize(texts.join(F.broadcast(chosen), "doc_id").select("text", "label", (F.pmod(F.xxhash64(F.lit(44), "text"), F.lit(5)) == 0).alias("held")), "toxic")
+    return common.materialize(texts.join(F.broadcast(chosen), "doc_id").select("text", "label", F.pmod(F.xxhash64(F.lit(44), "text"), F.lit(FOLDS)).cast("int").alias("fold")), "toxic")
 
 
-def learn_lexicon(rows: DataFrame, size: int = LEXICON) -> dict[bytes, float]:
-    """Words that toxic texts have far more often, with their log ratio.  Counts are summed on the executors."""
+def learn_lexicons(rows: DataFrame, size: int = LEXICON) -> list[dict[bytes, float]]:
+    """Words that toxic texts have far more often, with their log ratio: without each fold in turn, then of all rows.
+
+    Counts are summed on the executors.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[bytes, list[int]] = {}
+        counts: dict[tuple[bytes, int], list[int]] = {}
         for b in batches:
-            for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for t, y, f in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 for w in set(words_of(t or "")):
                     if len(w) > 1:
-                        counts.setdefault(w, [0, 0])[int(y > 0.5)] += 1
+                        counts.setdefault((w, f), [0, 0])[int(y > 0.5)] += 1
             if len(counts) > 200_000:
                 yield batch(counts)
                 counts = {}
         yield batch(counts)
 
     def batch(counts):
-        return pa.RecordBatch.from_arrays(
-            [pa.array(list(counts), pa.binary()), pa.array([c[0] for c in counts.values()], pa.int64()), pa.array([c[1] for c in counts.values()], pa.int64())], names=["word", "clean", "toxic"]
-        )
-
-    total = rows.agg(F.sum(F.when(F.col("label") > 0.5, 1).otherwise(0)).alias("toxic"), F.count("*").alias("all")).first()
-    toxic, clean = total["toxic"] or 0, (total["all"] or 0) - (total["toxic"] or 0)
-    if not toxic or not clean:
-        return {}
-    summed = rows.select("text", "label").mapInArrow(run, "word binary, clean long, toxic long").groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    ratio = F.log(((F.col("toxic") + 0.5) / (toxic + 1)) / ((F.col("clean") + 0.5) / (clean + 1)))
-    rated = summed.filter(F.col("toxic") >= max(3, toxic // 200)).select("word", "toxic", ratio.alias("ratio")).filter(F.col("ratio") > 1.5)
-    top = rated.orderBy((F.col("ratio") * F.col("toxic")).desc(), "word").limit(size).collect()  # the lexicon's size
-    return {bytes(r.word): float(r.ratio) for r in top}
+        columns = [pa.array([k[0] for k in counts], pa.binary()), pa.array([k[1] for k in counts], pa.int32())]
+        columns += [pa.array([c[i] for c in counts.values()], pa.int64()) for i in (0, 1)]
+        return pa.RecordBatch.from_arrays(columns, names=["word", "fold", "clean", "toxic"])
+
+    counted = rows.select("text", "label", "fold").mapInArrow(run, "word binary, fold int, clean long, toxic long")
+    part = [F.sum(F.when(F.col("fold") == f, F.col(c)).otherwise(0)).alias(f"{c}_{f}") for c in ("clean", "toxic") for f in range(FOLDS)]
+    words = common.materialize(counted.groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"), *part), "words")
+    sizes = {r.fold: (r.toxic, r.all - r.toxic) for r in rows.groupBy("fold").agg(F.sum(F.when(F.col("label") > 0.5, 1).otherwise(0)).alias("toxic"), F.count("*").alias("all")).collect()}
+    out = []
+    for f in range(FOLDS + 1):
+        toxic, clean = (sum(v[i] for k, v in sizes.items() if k != f) for i in (0, 1))
+        if not toxic or not clean:
+            out.append({})
+            continue
+        t, c = (F.col(k) - F.col(f"{k}_{f}") if f < FOLDS else F.col(k) for k in ("toxic", "clean"))
+        ratio = F.log(((t + 0.5) / (toxic + 1)) / ((c + 0.5) / (clean + 1)))
+        rated = words.filter(t >= max(3, toxic // 200)).select("word", t.alias("toxic"), ratio.alias("ratio")).filter(F.col("ratio") > 1.5)
+        top = rated.orderBy((F.col("ratio") * F.col("toxic")).desc(), "word").limit(size).collect()  # the lexicon's size
+        out.append({bytes(r.word): float(r.ratio) for r in top})
+    return out
 
 
 class Model:
@@ -143,26 +154,27 @@ class Model:
 def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model:
     common.small_batches(docs.sparkSession)
     rows = training_rows(docs, labels, most)
-    lexicon = learn_lexicon(rows.filter(~F.col("held")))
+    lexicons = learn_lexicons(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = [features(t, lexicon) for t in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), b.column(1), b.column(2)], names=["x", "y", "held"])
+            x = [[features(t, lexicon) for lexicon in lexicons] for t in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.list_(pa.float64()))), b.column(1), b.column(2)], names=["x", "y", "fold"])
 
-    got = rows.mapInArrow(run, "x array<double>, y double, held boolean").collect()  # at most ``most`` rows of a few numbers
-    got.sort(key=lambda r: (r.x, r.y, r.held))
-    y = np.asarray([r.y > 0.5 for r in got], float)
+    got = rows.mapInArrow(run, "x array<array<double>>, y double, fold int").collect()  # at most ``most`` rows of a few numbers
+    got.sort(key=lambda r: (r.x, r.y, r.fold))
+    y, fold = np.asarray([r.y > 0.5 for r in got], float), np.asarray([r.fold for r in got], int)
     if not len(y) or y.min() == y.max():
-        return Model(lexicon, None, float(y.mean()) if len(y) else 0.0)
+        return Model(lexicons[-1], None, float(y.mean()) if len(y) else 0.0)
     x = np.asarray([r.x for r in got], float)
-    held = np.asarray([r.held for r in got], bool)
-    if held.all() or not held.any():
-        held = np.arange(len(y)) % 5 == 4  # so few rows that one part is empty
-    trees = gbt.fit(x[~held], y[~held], rounds=40, depth=3)
-    if held.any():
-        trees.calibrate(x[held], y[held])
-    return Model(lexicon, trees, float(y.mean()))
+    unseen = np.zeros(len(y))
+    for f in range(FOLDS):
+        part = fold == f
+        if part.any():
+            unseen[part] = gbt.fit(x[~part, f], y[~part], rounds=40, depth=3).margin(x[part, f])
+    trees = gbt.fit(x[:, -1], y, rounds=40, depth=3)
+    trees.knots, trees.levels = gbt.isotonic(unseen, y)
+    return Model(lexicons[-1], trees, float(y.mean()))
 
 
 def classify(df: DataFrame, model: Model, text: str = "text") -> DataFrame:

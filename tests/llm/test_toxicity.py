@@ -47,14 +47,20 @@ def test_no_caps_and_unicode_case():
     assert f(long, {b"idiot": 3.0})["hits"] == 1
 
 
-def test_the_held_part_teaches_no_words(spark):
+def test_no_fold_teaches_its_own_lexicon(spark):
     rows = [(i, f"plain text number {i}" if i % 2 else f"you awfulword{'h' if i % 3 else 'k'} {i}") for i in range(400)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     labels = spark.createDataFrame([(i, 1 - i % 2) for i, _ in rows], "doc_id long, toxic int")
     sample = X.training_rows(docs, labels)
-    assert 0 < sample.filter("held").count() < sample.count() / 2
-    seen = {w for r in sample.filter("not held").collect() for w in X.words_of(r.text)}
-    assert set(X.learn_lexicon(sample.filter("not held"))) <= seen
+    taught = sample.collect()
+    lexicons = X.learn_lexicons(sample)
+    assert len(lexicons) == X.FOLDS + 1 and len({r.fold for r in taught}) == X.FOLDS
+    for f, lexicon in enumerate(lexicons):
+        part = [r for r in taught if r.fold != f]
+        toxic, clean = sum(r.label for r in part), sum(1 - r.label for r in part)
+        for w, ratio in lexicon.items():
+            t, c = (sum(w in X.words_of(r.text) for r in part if r.label == y) for y in (1, 0))
+            assert abs(ratio - np.log(((t + 0.5) / (toxic + 1)) / ((c + 0.5) / (clean + 1)))) < 1e-9 and t >= 3
     twice = X.classify(docs.union(docs.limit(3)), X.train(docs, labels)).filter("doc_id < 3").collect()
     assert len(twice) == 6 and all(len({r.score for r in twice if r.doc_id == i}) == 1 for i in range(3))
 
