@@ -4,7 +4,7 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
 stage's docs.  All but the last return the columns of documents.
 
 Defined results: null and empty texts pass the first four stages unless they are rejected (an empty text is linked with
-nothing, has no words, and no secrets) and get no tokens; a repeated row is a document of its own in each stage; an
+nothing, has no words, and no secrets) and get no tokens; very long texts pass whole; a repeated row is a document of its own in each stage; an
 empty table gives no rows; extra columns pass through.
 """
 
