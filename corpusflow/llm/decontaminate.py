@@ -10,7 +10,7 @@ checked against the other terms' lists, and runs of enough consecutive matches a
 DataFrame functions only.  Terms are never a shuffle key, so a frequent term is no hot group; counts are pre-aggregated.
 The test vocabulary and the candidate rows are broadcast only where a count shows them small, otherwise the joins shuffle.
 
-Defined results: null or empty texts have no words (and get a row of zeros); rows that repeat a doc_id are documents of
+Defined results: null or empty texts have no words (and get a row of zeros); very long texts are indexed whole; rows that repeat a doc_id are documents of
 their own, as are null doc_ids; an item id that is repeated counts once; items without an id or without words match nothing;
 an empty test table leaves every document clean; other columns, whatever their names, are ignored.
 """
