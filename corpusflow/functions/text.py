@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -49,6 +51,36 @@ def without_stopwords(toks: Column, lang: Column) -> Column:
     return F.when(lang.isNull(), toks).otherwise(F.filter(toks, lambda t: ~F.concat(prefix, t).isin(_LISTED)))
 
 
+_FIND = re.compile(WORD).findall
+_SCRIPTS = [("ru", "Ѐ-ӿ"), ("ko", "가-힯ᄀ-ᇿ"), ("ja", "぀-ゟ゠-ヿ"), ("zh", "一-鿿"), ("es", "ñ¿¡"), ("de", "äöüß"), ("fr", "œæëïù"), ("pt", "çãõ")]
+_TELLING = [(k, re.compile(f"[{letters}]").search) for k, letters in _SCRIPTS]
+_ACCENTS = re.compile("[áéíóúâêôà]").search
+_INDICATORS = {k: frozenset(v) for k, v in INDICATORS.items()}
+_FUNCTION_WORDS = {k: frozenset(v) for k, v in STOPWORDS.items()}
+
+
+def terms(text: str | None) -> tuple[str | None, list[str]]:
+    """In Python, for whole texts: ``language`` and ``without_stopwords`` of ``tokens``."""
+    if not text:
+        return None, []
+    low = text.lower()
+    plain = text.isascii()
+    toks = _FIND(low) if plain else [t.lower() for t in _FIND(text)]
+    if "-" in text:
+        toks = [p for t in toks for p in ((t, *(x for x in t.split("-") if x and x != t)) if "-" in t else (t,))]
+    lang = None
+    if not plain:
+        seen = "".join(set(low))
+        lang = next((k for k, found in _TELLING if found(seen)), None)
+    if lang is None:
+        distinct = set(toks)
+        votes = {k: len(distinct & v) for k, v in _INDICATORS.items()}
+        best = max(votes, key=votes.get)  # the first of those that tie
+        lang = best if votes[best] else "pt" if not plain and _ACCENTS(seen) else None
+    drop = _FUNCTION_WORDS.get(lang)
+    return lang, [t for t in toks if t not in drop] if drop else toks
+
+
 def keyword_tokens(toks: Column) -> Column:
     return F.filter(toks, lambda t: (F.length(t) > 3) & ~t.isin(KEYWORD_STOPWORDS))
 
