@@ -45,16 +45,16 @@ class Options:
     extra: int = 100
 
 
-def vectors(index: lexical.LexicalIndex, queries: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Hashed vectors of the documents and of the queries (id is qid there), with the statistics of the index."""
-    q = lexical.query_terms(queries, index.stem).select(F.col("qid").alias("id"), "term", F.col("times").alias("tf"))
-    return dense.hashed(index, index.postings), dense.hashed(index, q).withColumnRenamed("id", "qid")
+def query_vectors(index: lexical.LexicalIndex, queries: DataFrame) -> DataFrame:
+    """qid, vector: hashed vectors with the statistics of the index."""
+    q = table(lexical.query_terms(queries, index.stem).select(F.col("qid").alias("id"), "term", F.col("times").alias("tf")))
+    return dense.hashed(index, q, index.terms_of(q.select("term").distinct())).withColumnRenamed("id", "qid")
 
 
-def _vectors(index: lexical.LexicalIndex, texts: DataFrame, queries: DataFrame, o: Options) -> tuple[DataFrame, DataFrame]:
+def _near(index: lexical.LexicalIndex, texts: DataFrame, queries: DataFrame, o: Options, pool: int) -> DataFrame:
     if o.encoder is None:
-        return vectors(index, queries)
-    return dense.encoded(texts, o.encoder), dense.encoded(queries, o.encoder, "qid", o.prompt).withColumnRenamed("id", "qid")
+        return dense.hashed_top_k(index, query_vectors(index, queries), pool)
+    return dense.exact_top_k(dense.encoded(texts, o.encoder), dense.encoded(queries, o.encoder, "qid", o.prompt).withColumnRenamed("id", "qid"), pool)
 
 
 def flat_hybrid(docs: DataFrame, queries: DataFrame, k: int = 10, pool: int = 50, alpha: float = fusion.ALPHA_FLAT) -> Arms:
@@ -86,8 +86,7 @@ def hybrid(chunks: DataFrame, queries: DataFrame, o: Options, long: bool, edges:
     if long:
         more = lexical.expansion_terms(index, queries, words, chunks)
         words = table(lexical.union_passes(words, lexical.bm25(index, lexical.expanded(queries, more), pool)))
-    dv, qv = _vectors(index, chunks.select("id", "text"), queries, o)
-    near = table(dense.exact_top_k(dv, qv, pool))
+    near = table(_near(index, chunks.select("id", "text"), queries, o, pool))
     members, ranks = near.select("qid", "id"), near.select("qid", "id", "rank")
     every = members.unionByName(words.select("qid", "id"))
     if o.graph:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusflow.functions import text as X
-from corpusflow.operators import lexical
+from corpusflow.operators import dense, lexical
 
 ODD = ["the cat-flap is on the-mat, re-use", "São Paulo não é o Rio — ação", "это книга и не та", "한국어 문장 이 그", "これは本です の に", "中文句子 的 了", "¿qué tal? el la los", "für die Straße ÄÖ", "un œuf et le", "K İstanbul ẞ a_b-c--d x-", "áé xyz", "", None, "   ", "a a a b-b b", "il gatto non sono gli della"]
 
@@ -54,3 +54,26 @@ def test_best_of_blocks(tie):
         lexical.CELLS = was
     want = [(q, int(ids[r]), s[r, q]) for q in range(7) for r in sorted(np.flatnonzero(s[:, q] > -np.inf), key=lambda r: (-s[r, q], hops[r] if tie else 0, ids[r]))[:9]]
     assert got == want
+
+
+def test_hashed_top_k_is_the_exact_one(spark):
+    rng = np.random.default_rng(7)
+    rows = [(i, " ".join(f"w{j}" for j in rng.zipf(1.4, 30) if j < 500)) for i in range(300)] + [(300, ""), (301, None)]
+    index = lexical.build_index(spark.createDataFrame(rows, "id int, text string"))
+    q = spark.createDataFrame([(1, "w1 w2 w7"), (2, "w30 w31"), (3, "absent")], "qid int, text string")
+    terms = lexical.query_terms(q).select(F.col("qid").alias("id"), "term", F.col("times").alias("tf"))
+    qv = dense.hashed(index, terms).withColumnRenamed("id", "qid")
+    want = dense.exact_top_k(dense.hashed(index, index.postings), qv, 20).collect()
+    assert sorted(map(tuple, dense.hashed_top_k(index, qv, 20).collect())) == sorted(map(tuple, want)) and want
+
+
+def test_top_k_returns_k_a_task(spark):
+    v = np.random.default_rng(6).normal(size=(3000, 4))
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, vector array<double>").repartition(1).cache()
+    was = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        found = dense._block_top_k(df, [1, 2], v[:2], 5, "long")
+        assert found.count() == 10  # 5 a query and batch before
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", was)
