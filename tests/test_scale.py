@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusflow.functions import text as X
-from corpusflow.operators import dense, lexical
+from corpusflow.operators import dense, lexical, passages
 
 ODD = ["the cat-flap is on the-mat, re-use", "São Paulo não é o Rio — ação", "это книга и не та", "한국어 문장 이 그", "これは本です の に", "中文句子 的 了", "¿qué tal? el la los", "für die Straße ÄÖ", "un œuf et le", "K İstanbul ẞ a_b-c--d x-", "áé xyz", "", None, "   ", "a a a b-b b", "il gatto non sono gli della"]
 
@@ -77,3 +77,17 @@ def test_top_k_returns_k_a_task(spark):
         assert found.count() == 10  # 5 a query and batch before
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", was)
+
+
+def test_holders_and_evidence(spark):
+    docs = ["xx abcdefgh-tail yy", "abcdefgh-tai", "abcdefgh-tail", "ção çã", "aaaaaaaaaaaaaaaaaaaaab", "", None, "tail", "Alpha BETA gamma Kelvin", "alpha alpha beta", "one two three four five six", "12 345 ab"]
+    asked = ["abcdefgh-tail", "ail", "ção", "", "aaaaaaaab", "q", None, "ã", "Alpha beta gamma", "345 alpha", "K kelvin"]
+    d = spark.createDataFrame(list(enumerate(docs)), "id int, text string")
+    q = spark.createDataFrame(list(enumerate(asked)), "qid int, text string")
+    got = passages.holders(d, q)
+    assert {(r.qid, r.id) for r in got.collect()} == {(j, i) for i, t in enumerate(docs) for j, x in enumerate(asked) if t is not None and x is not None and x in t}
+    assert "NestedLoop" not in shuffled(got)
+    a = d.select("id", X.evidence_tokens(F.col("text")).alias("a"))
+    want = a.crossJoin(q.select("qid", X.evidence_tokens(F.col("text")).alias("b"))).filter(X.evidence_hit(F.col("a"), F.col("b"))).select("id", "qid")
+    hit = passages.evidence(d, q)
+    assert sorted(map(tuple, hit.collect())) == sorted(map(tuple, want.collect())) and "NestedLoop" not in shuffled(hit)
