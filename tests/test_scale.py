@@ -91,3 +91,21 @@ def test_holders_and_evidence(spark):
     want = a.crossJoin(q.select("qid", X.evidence_tokens(F.col("text")).alias("b"))).filter(X.evidence_hit(F.col("a"), F.col("b"))).select("id", "qid")
     hit = passages.evidence(d, q)
     assert sorted(map(tuple, hit.collect())) == sorted(map(tuple, want.collect())) and "NestedLoop" not in shuffled(hit)
+
+
+def test_basins_are_scored_in_blocks(spark):
+    rng = np.random.default_rng(8)
+    v = np.round(rng.normal(size=(90, 3)), 1)
+    rows = [(i, i % 9, i // 9, v[i].tolist(), rng.normal(size=3).tolist() if i < 4 else None) for i in range(90)]
+    m = spark.createDataFrame(rows, "id long, basin_id long, hops int, vector array<double>, summary array<double>")
+    q = spark.createDataFrame([(i, v[i].tolist()) for i in range(0, 90, 11)] + [(99, [0.0, 0.0, 0.0])], "qid long, vector array<double>")
+    cos = lambda a, b: round(float(np.dot(a, b) / (np.linalg.norm(a) * np.linalg.norm(b) or 1)), 6)
+    want = set()
+    for i in range(0, 90, 11):
+        heads = sorted(((-(cos(v[i], rows[b][4]) if b < 4 and cos(v[i], rows[b][4]) else cos(v[i], v[b])), b) for b in range(9)))
+        if -heads[0][0] > 1e-9:
+            for place, (_, b) in enumerate(heads[:3], 1):
+                inside = sorted((-cos(v[i], v[x]), x // 9, x) for x in range(b, 90, 9))[:4]
+                want |= {(i, b, place, x, r) for r, (_, _, x) in enumerate(inside, 1)}
+    got = dense.basin_search(m, q, 3, 4)
+    assert {(r.qid, r.basin_id, r.basin_rank, r.id, r["rank"]) for r in got.collect()} == want
