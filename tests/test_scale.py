@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusflow.functions import text as X
-from corpusflow.operators import dense, lexical, passages
+from corpusflow.operators import dense, lexical, passages, topology
 
 ODD = ["the cat-flap is on the-mat, re-use", "São Paulo não é o Rio — ação", "это книга и не та", "한국어 문장 이 그", "これは本です の に", "中文句子 的 了", "¿qué tal? el la los", "für die Straße ÄÖ", "un œuf et le", "K İstanbul ẞ a_b-c--d x-", "áé xyz", "", None, "   ", "a a a b-b b", "il gatto non sono gli della"]
 
@@ -109,3 +109,12 @@ def test_basins_are_scored_in_blocks(spark):
                 want |= {(i, b, place, x, r) for r, (_, _, x) in enumerate(inside, 1)}
     got = dense.basin_search(m, q, 3, 4)
     assert {(r.qid, r.basin_id, r.basin_rank, r.id, r["rank"]) for r in got.collect()} == want
+
+
+def test_nearest_pairs_make_the_same_virtual_edges(spark):
+    v = np.round(np.random.default_rng(9).normal(size=(260, 3)), 1)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, vector array<double>")
+    every, some = dense.similar_pairs(df, 0.3), dense.nearest_pairs(df, 0.3, 12).cache()
+    assert some.count() <= 12 * 260 < every.count()
+    want = topology.virtual_edges(every, 5, (4, 12))
+    assert sorted(map(tuple, topology.virtual_edges(some, 5, (4, 12)).collect())) == sorted(map(tuple, want.collect()))
