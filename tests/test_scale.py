@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusflow.functions import text as X
-from corpusflow.operators import dense, lexical, passages, topology
+from corpusflow.operators import dense, lexical, passages, topology, walk
 
 ODD = ["the cat-flap is on the-mat, re-use", "São Paulo não é o Rio — ação", "это книга и не та", "한국어 문장 이 그", "これは本です の に", "中文句子 的 了", "¿qué tal? el la los", "für die Straße ÄÖ", "un œuf et le", "K İstanbul ẞ a_b-c--d x-", "áé xyz", "", None, "   ", "a a a b-b b", "il gatto non sono gli della"]
 
@@ -118,3 +118,20 @@ def test_nearest_pairs_make_the_same_virtual_edges(spark):
     assert some.count() <= 12 * 260 < every.count()
     want = topology.virtual_edges(every, 5, (4, 12))
     assert sorted(map(tuple, topology.virtual_edges(some, 5, (4, 12)).collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_entity_walk_is_the_entity_search(spark):
+    rng = np.random.default_rng(10)
+    names = [f"HttpServer{i}" if i % 3 else f"parse_item{i}" for i in range(40)]
+    rows = [(i, " ".join(names[j % 40] for j in rng.zipf(1.5, 12))) for i in range(120)] + [(120, ""), (121, None), (122, "ÉCLAIR lonely_Name9 XMLHttp2")]
+    d = spark.createDataFrame(rows, "id long, text string")
+    assert {(r.id, e) for r in walk.entity_lists(d).collect() for e in r.entities} == {(r.id, r.entity) for r in walk.entities(d).collect()}
+    q = spark.createDataFrame([(1, "httpserver1"), (1, "http"), (2, "item3"), (3, "unknown"), (4, "lonely_name9")], "qid long, entity string")
+    want = walk.entity_search(walk.entities(d), q, documents=len(rows)).collect()
+    was, walk.ROWS, walk.PART = walk.ROWS, 7, 20
+    try:
+        got = walk.entity_walk(d, q).collect()
+    finally:
+        walk.ROWS, walk.PART = was, 50_000
+    key = lambda rs: sorted((r.qid, r["rank"], r.id, round(r.score, 5)) for r in rs)
+    assert key(got) == key(want) and want
