@@ -38,6 +38,12 @@ def test_index_of_repeated_ids(spark):
     assert {r.term: r.df for r in index.terms.collect()} == {"alpha": 2, "beta": 2, "gamma": 1, "delta": 1} and index.n == 5
 
 
+def test_bm25_of_blocks_without_a_query_term(spark):
+    docs = spark.createDataFrame([(1, "alpha beta"), (2, ""), (3, None), (4, "gamma")], "id int, text string").repartition(4, "id")
+    got = lexical.bm25(lexical.build_index(docs), spark.createDataFrame([(7, "gamma"), (8, "absent")], "qid int, text string"))
+    assert [(r.qid, r.id, r["rank"]) for r in got.collect()] == [(7, 4, 1)]
+
+
 @pytest.mark.parametrize("tie", [False, True])
 def test_best_of_blocks(tie):
     rng = np.random.default_rng(5)
