@@ -51,10 +51,21 @@ def query_vectors(index: lexical.LexicalIndex, queries: DataFrame) -> DataFrame:
     return dense.hashed(index, q, index.terms_of(q.select("term").distinct())).withColumnRenamed("id", "qid")
 
 
+def vectors(index: lexical.LexicalIndex, queries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Hashed vectors of the documents and of the queries (id is qid there), with the statistics of the index."""
+    return dense.hashed(index, index.postings), query_vectors(index, queries)
+
+
+def _vectors(index: lexical.LexicalIndex, texts: DataFrame, queries: DataFrame, o: Options) -> tuple[DataFrame, DataFrame]:
+    if o.encoder is None:
+        return vectors(index, queries)
+    return dense.encoded(texts, o.encoder), dense.encoded(queries, o.encoder, "qid", o.prompt).withColumnRenamed("id", "qid")
+
+
 def _near(index: lexical.LexicalIndex, texts: DataFrame, queries: DataFrame, o: Options, pool: int) -> DataFrame:
     if o.encoder is None:
         return dense.hashed_top_k(index, query_vectors(index, queries), pool)
-    return dense.exact_top_k(dense.encoded(texts, o.encoder), dense.encoded(queries, o.encoder, "qid", o.prompt).withColumnRenamed("id", "qid"), pool)
+    return dense.exact_top_k(*_vectors(index, texts, queries, o), pool)
 
 
 def flat_hybrid(docs: DataFrame, queries: DataFrame, k: int = 10, pool: int = 50, alpha: float = fusion.ALPHA_FLAT) -> Arms:
