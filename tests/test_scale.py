@@ -62,6 +62,32 @@ def test_best_of_blocks(tie):
     assert got == want
 
 
+@pytest.mark.parametrize("tie", [False, True])
+@pytest.mark.parametrize("digits", [(), (6,)])
+def test_best_holds_k_a_query_of_equal_scores(tie, digits):
+    rng = np.random.default_rng(11)
+    n, k = 4000, 5
+    v, m, ids, hops = np.repeat(rng.normal(size=(4, 3)), n // 4, axis=0)[rng.permutation(n)], rng.normal(size=(40, 3)), rng.permutation(n), rng.integers(0, 3, n)
+    s, which = np.round(v @ m.T, 6), np.arange(3, 35)
+    best = lexical.Best(40, k, *digits)
+    for lo in range(0, n, 500):
+        b = slice(lo, lo + 500)
+        best.add(pa.array(ids[b]), lambda i, j, b=b: v[b] @ m[which[i:j]].T if digits else s[b, which[i:j]], hops[b] if tie else None, which)
+        assert best.held <= len(which) * k * (lo // 500 + 1)  # each copy of the best vector waited before
+    got = [x for c in best.batches() for x in zip(*(y.to_pylist() for y in c.columns), strict=True)]
+    assert got == [(q, int(ids[r]), s[r, q]) for q in which for r in sorted(range(n), key=lambda r, q=q: (-s[r, q], hops[r] if tie else 0, ids[r]))[:k]]
+
+
+def test_best_settles_at_k_a_query():
+    rng = np.random.default_rng(12)
+    v, m, k = rng.normal(size=(12_000, 8)), rng.normal(size=(1500, 8)), 40
+    best = lexical.Best(len(m), k)
+    for lo in range(0, len(v), 2000):
+        best.add(pa.array(np.arange(lo, lo + 2000)), lambda i, j, b=v[lo : lo + 2000]: np.round(b @ m[i:j].T, 6))
+        assert best.held < len(m) * k  # it grew to CELLS, k a query and block, before
+    assert sum(b.num_rows for b in best.batches()) == len(m) * k
+
+
 def test_hashed_top_k_is_the_exact_one(spark):
     rng = np.random.default_rng(7)
     rows = [(i, " ".join(f"w{j}" for j in rng.zipf(1.4, 30) if j < 500)) for i in range(300)] + [(300, ""), (301, None)]
